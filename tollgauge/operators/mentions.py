@@ -59,7 +59,10 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: in
     """
     found = candidates(docs, names, key, text)
     per_doc = found.groupBy(key).agg(F.collect_list(F.struct("at", "span", "model_id", "display_name", "ord")).alias("found"))
-    base = docs.select(key, _clean(text).alias("plain")).join(per_doc, key).withColumn("segs", segments(F.col("plain")))
+    # a fixed partition count keeps AQE from folding this CPU-bound stage into a few tasks on small inputs
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(key, _clean(text).alias("plain")).repartition(parts, key).join(per_doc, key)
+    base = base.select(key, "found", segments(F.col("plain")).alias("segs"))
     base = base.withColumn("ats", F.array_sort(F.array_distinct(F.transform("found", lambda m: m["at"]))))
     # one pass over the segments; an offset is kept only where a candidate starts
     start_state = F.struct(
@@ -74,20 +77,30 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: in
             F.when(here, F.concat(s["out"], F.array(s["pos"]))).otherwise(s["out"]).alias("out"),
         )
 
-    base = base.withColumn("starts", F.aggregate("segs", start_state, walk, lambda s: s["out"])).drop("segs")
-    plain = F.col("plain")
+    walked = F.aggregate("segs", start_state, walk, lambda s: F.struct(s["out"].alias("starts"), s["pos"].alias("total")))
+    base = base.withColumn("walked", walked)
+
+    def piece(first: Column, last: Column) -> Column:
+        """Text of the segments ``first``..``last``, read by index so that a long text costs nothing extra."""
+        return F.when(
+            first <= last, F.array_join(F.transform(F.sequence(first, last), lambda i: F.get("segs", i)), "")
+        ).otherwise("")
 
     def place(m: Column) -> Column:
-        pos = F.get("starts", (F.array_position("ats", m["at"]) - 1).cast("int"))
-        raw = F.substr(plain, pos + 1, F.length(m["display_name"]))
-        return F.struct(m["model_id"].alias("model_id"), m["display_name"].alias("display_name"), m["ord"].alias("ord"), pos.alias("pos"), raw.alias("raw"))
+        pos = F.get("walked.starts", (F.array_position("ats", m["at"]) - 1).cast("int"))
+        after = m["at"] + m["span"]
+        # every segment holds at least one character, so ``context`` segments always cover ``context`` characters
+        left = F.right(piece(F.greatest(m["at"] - context, F.lit(0)), m["at"] - 1), F.lit(context))
+        right = F.left(piece(after, F.least(after + context, F.size("segs")) - 1), F.lit(context))
+        return F.struct(
+            m["model_id"].alias("model_id"), m["display_name"].alias("display_name"), m["ord"].alias("ord"), pos.alias("pos"),
+            piece(m["at"], after - 1).alias("raw"), left.alias("left"), right.alias("right"),
+        )
 
     def snippet(m: Column) -> Column:
-        left = F.greatest(m["pos"] - context, F.lit(0))
-        end = F.least(m["pos"] + F.length(m["raw"]) + context, F.length(plain))
-        around = squeeze(F.substr(plain, left + 1, end - left))
-        head = F.when(left > 0, "…").otherwise("")
-        tail = F.when(end < F.length(plain), "…").otherwise("")
+        head = F.when(m["pos"] > context, "…").otherwise("")
+        tail = F.when(m["pos"] + F.length(m["raw"]) + context < F.col("walked.total"), "…").otherwise("")
+        around = squeeze(F.concat(m["left"], m["raw"], m["right"]))
         return F.struct(
             m["model_id"].alias("model_id"), m["display_name"].alias("display_name"), m["ord"].alias("ord"), m["pos"].alias("pos"),
             m["raw"].alias("raw"), F.concat(head, around, tail).alias("snippet"),

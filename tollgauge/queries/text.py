@@ -40,7 +40,7 @@ def _no_noise(x: str) -> str:
 )
 def page_clean_hash(v: Views):
     html = F.col("html")
-    return v.table("pages").select(
+    return v.texts("pages", "page_id", "html").select(
         "page_id", T.content_hash(html).alias("content_hash"), T.readable_text(html).alias("readable"),
         F.md5(T.without_noise(html)).alias("quiet_md5"), T.readable_text(T.without_noise(html)).alias("quiet_text"),
     )
@@ -137,7 +137,7 @@ def page_limits(v: Views):
 )
 def document_limits(v: Views):
     """Limit wording found in the document corpus."""
-    e = X.with_extractions(v.table("documents").select("doc_id", "text"), "text")
+    e = X.with_extractions(v.texts("documents", "doc_id", "text"), "text")
     return X.limit_rows(e, ["doc_id"]).groupBy("doc_id", "kind", "confidence").agg(
         F.count("*").alias("hits"), F.count("value").alias("with_value")
     )
@@ -161,7 +161,7 @@ def _notes_sql(table: str, key: str) -> str:
 
 @query("doc_footnotes", _notes_sql("documents", "doc_id"))
 def doc_footnotes(v: Views):
-    return v.table("documents").select("doc_id", F.explode(X.footnotes(F.col("text"))).alias("footnote"))
+    return v.texts("documents", "doc_id", "text").select("doc_id", F.explode(X.footnotes(F.col("text"))).alias("footnote"))
 
 
 @query(
@@ -170,7 +170,7 @@ def doc_footnotes(v: Views):
         SELECT page_id, count(*) AS notes, min(length(footnote)) AS shortest FROM ({_notes_sql("readable", "page_id")}) GROUP BY page_id""",
 )
 def page_footnotes(v: Views):
-    t = v.table("pages").select("page_id", T.readable_text(F.col("html")).alias("text"))
+    t = v.texts("pages", "page_id", "html").select("page_id", T.readable_text(F.col("html")).alias("text"))
     notes = t.select("page_id", F.explode(X.footnotes(F.col("text"))).alias("f"))
     return notes.groupBy("page_id").agg(F.count("*").alias("notes"), F.min(F.length("f")).cast("bigint").alias("shortest"))
 
@@ -195,13 +195,13 @@ def names(v: Views):
 )
 def mention_candidates(v: Views):
     """All places a name occurs between word boundaries, per document and name."""
-    c = M.candidates(v.table("documents"), names(v), "doc_id", "text")
+    c = M.candidates(v.texts("documents", "doc_id", "text"), names(v), "doc_id", "text")
     return c.groupBy("model_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
 @query("doc_mentions")
 def doc_mentions(v: Views):
-    return M.mentions(v.table("documents"), names(v), "doc_id", "text")
+    return M.mentions(v.texts("documents", "doc_id", "text"), names(v), "doc_id", "text")
 
 
 # Rule files: one per host, its rules taken from the host's own URLs (first path of each language folder).
@@ -236,16 +236,8 @@ def rule_files(parts):
 )
 def url_rules(v: Views):
     parts = RB.url_parts(v.table("pages").select("page_id", "url"), "url")
-    files = rule_files(parts)
-    out = None
-    for agent in ("anybot", "ratebot"):
-        rules = RB.parse_rules(files, f"{agent}/1.0")
-        delay = rules.groupBy("host").agg(F.max("crawl_delay").alias("crawl_delay"))
-        a = RB.allowed(parts, rules, "page_id").join(delay, "host", "left").select(
-            F.lit(agent).alias("agent"), "page_id", "host", "path", "allowed", "crawl_delay"
-        )
-        out = a if out is None else out.unionByName(a)
-    return out
+    files = rule_files(parts).withColumn("agent", F.explode(F.array(F.lit("anybot"), F.lit("ratebot"))))
+    return RB.allowed(parts, RB.parse_rules(files)).select("agent", "page_id", "host", "path", "allowed", "crawl_delay")
 
 
 # Price diff: each provider's page text is the set of offers of its plans.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tollgauge import constants as K
 from tollgauge.functions.basics import lookup
 from tollgauge.operators.ordering import recency_key
+from tollgauge.session import spread
 
 AS_OF = "2001-08-02"
 SCORES_AS_OF = "2024-01-31"
@@ -43,6 +44,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str, *columns: str) -> DataFrame:
+        """Columns for CPU-heavy row work, spread over the cores when the file itself gives too few splits."""
+        return spread(self.table(name).select(*columns))
+
     @cached_property
     def provider(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -103,7 +108,9 @@ class Views:
     @cached_property
     def limit(self) -> DataFrame:
         """One declared usage limit per line item, all fourteen types and seven windows."""
-        li = self.table("lineitem")
+        li = self.texts(
+            "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"
+        )
         line = F.col("l_linenumber")
         pair = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4) + F.when(
             F.col("l_linestatus") == "F", 0
@@ -195,7 +202,10 @@ class Views:
     @cached_property
     def offer_text(self) -> DataFrame:
         """One price-and-limit text per line item, built from its own values."""
-        li, o = self.table("lineitem"), self.table("orders")
+        o = self.table("orders").select("o_orderkey", "o_totalprice")
+        li = self.texts(
+            "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
+        )
         j = li.join(o, li.l_orderkey == o.o_orderkey)
         amount = F.floor("o_totalprice") % 2000
         whole = F.floor("l_quantity").cast("string")
