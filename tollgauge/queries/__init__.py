@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["usage", "ranking", "history", "text"]
+MODULES = ["usage", "ranking", "history", "text", "catalog"]
 
 
 def load():
