@@ -325,11 +325,12 @@ def id_universe(v: Views):
 
 @query(
     "unscored_models",
-    sql("SELECT model_id, display_name FROM model WHERE is_active AND model_id NOT IN (SELECT model_id FROM score)", "model", "score"),
+    sql("SELECT model_id, display_name FROM model WHERE is_active AND model_id NOT IN (SELECT model_id FROM score WHERE coding IS NOT NULL)", "model", "score"),
 )
 def unscored_models(v: Views):
-    """Active models without a score row."""
-    return v.model.where("is_active").join(v.score.select("model_id"), "model_id", "left_anti").select("model_id", "display_name")
+    """Active models without a usable coding score."""
+    scored = v.score.where(F.col("coding").isNotNull()).select("model_id")
+    return v.model.where("is_active").join(scored, "model_id", "left_anti").select("model_id", "display_name")
 
 
 @query(
