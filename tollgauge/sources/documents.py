@@ -51,7 +51,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """All parsable provider documents (one JSON object per file); broken files are skipped."""
     schema = T._parse_datatype_string(PROVIDER + ", _corrupt_record string")
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # the second condition only makes every query read a real column, which Spark demands next to the corrupt one
+    kept = F.col("_corrupt_record").isNull() & ~F.col("id").eqNullSafe(F.lit("\u0000"))
+    return raw.where(kept).drop("_corrupt_record")
 
 
 def _rule(path: str, ok: Column, message: str) -> Column:

@@ -1,48 +1,64 @@
-"""Snapshot streams: change detection against the last hash per page, and idempotent ingest."""
+"""Snapshot streams: change detection against the last hash per page, and idempotent ingest.
 
-from __future__ import annotations
+Change detection runs the batch operators on every micro-batch (``foreachBatch``), so a page that fills
+a third of a batch is still split by time slice; no Python state function has to hold one key's rows.
+"""
 
-from collections.abc import Iterator
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tollgauge.operators.history import PAGE, content_changes, latest_snapshot
+from tollgauge.sources.tables import read_or_none
+
+COLUMNS = [*PAGE, "snapshot_id", "observed_at", "content_hash"]
 
-from tollgauge.operators.history import PAGE
 
-CHANGE_SCHEMA = "provider_id bigint, source_url string, snapshot_id bigint, observed_at timestamp, content_hash string, changed boolean"
-_STATE = "observed_us bigint, snapshot_id bigint, content_hash string"
+def mark_batch(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Flag a batch: the first row of a page is compared with the stored hash, later rows with each other."""
+    marked = content_changes(batch.select(*COLUMNS))
+    if stored is not None:
+        known = stored.select(*PAGE, F.col("content_hash").alias("stored_hash"), F.lit(True).alias("known"))
+        joined = marked.join(known, PAGE, "left")
+        against_store = F.col("known").isNull() | ~F.col("content_hash").eqNullSafe(F.col("stored_hash"))
+        marked = joined.withColumn("changed", F.when(F.col("has_previous"), F.col("changed")).otherwise(against_store))
+    return marked.select(*COLUMNS, "changed")
 
 
-def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Flag each snapshot against the newest earlier one. Batches of one key arrive in chunks; each is sorted alone.
+def run_change_stream(snapshots: DataFrame, root: str) -> StreamingQuery:
+    """Process everything available, then stop. Flags go to ``root``/changes, newest hashes to ``root``/latest.
 
-    Within one micro-batch the chunks of a key must be in time order for the lag to be exact, so all of the
-    key's new rows are ordered together; state keeps only the newest (time, id, hash).
+    Both are partitioned by batch and overwritten per batch, so a batch repeated after a failure gives the
+    same files. A batch reads the newest state before its own number, never the one it writes.
     """
-    rows = pd.concat(list(batches)).sort_values(["observed_at", "snapshot_id"], kind="stable")
-    last: Any = state.get if state.exists else None
-    hashes = rows["content_hash"].tolist()
-    previous = [last[2] if last else None, *hashes[:-1]]
-    first_known = last is not None
-    rows["changed"] = [
-        (not first_known if i == 0 else False) or h != p for i, (h, p) in enumerate(zip(hashes, previous, strict=True))
-    ]
-    end = rows.iloc[-1]
-    state.update((int(end["observed_at"].value // 1000), int(end["snapshot_id"]), end["content_hash"]))
-    yield rows[["provider_id", "source_url", "snapshot_id", "observed_at", "content_hash", "changed"]]
-
-
-def detect_changes(snapshots: DataFrame) -> DataFrame:
-    """Stream of snapshots with a ``changed`` flag; the state is one row per page."""
-    slim = snapshots.selectExpr(
-        "provider_id", "source_url", "snapshot_id", "cast(observed_at as timestamp) AS observed_at", "content_hash"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        states = read_or_none(spark, f"{root}/latest")
+        stored = None
+        if states is not None:
+            earlier = states.where(F.col("batch") < number)
+            stored = earlier.where(F.col("batch") == earlier.agg(F.max("batch")).scalar())
+        write(mark_batch(batch, stored), f"{root}/changes", number)
+        new = batch.select(*COLUMNS)
+        pool = new if stored is None else new.unionByName(stored.select(*COLUMNS))
+        write(latest_snapshot(pool, PAGE), f"{root}/latest", number)
+
+    def write(df: DataFrame, path: str, number: int) -> None:
+        stamped = df.withColumn("batch", F.lit(number).cast("bigint"))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return (
+        snapshots.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
-    return slim.groupBy(*PAGE).applyInPandasWithState(_detect, CHANGE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest_once(snapshots: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Drop snapshots already seen within the lateness bound, so replays append nothing."""
-    timed = snapshots.withColumn("event_time", snapshots["observed_at"].cast("timestamp"))
+    timed = snapshots.withColumn("event_time", F.col("observed_at").cast("timestamp"))
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([*PAGE, "snapshot_id"])
