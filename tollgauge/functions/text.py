@@ -105,14 +105,20 @@ def free_tier_label(text: Column) -> Column:
     return F.when(text.rlike(rf"(?i){WORD_START}free{WORD_END}"), "Free").when(text.rlike(r"\$0"), "$0")
 
 
-def pattern_hits(text: Column, pattern: str, context: int) -> Column:
+def markable(text: Column) -> Column:
+    """Text without the control character that ``pattern_hits`` marks hits with."""
+    return F.replace(text, F.lit(MARK), F.lit(""))
+
+
+def pattern_hits(plain: Column, pattern: str, context: int) -> Column:
     """All non-overlapping hits of ``pattern`` as array<struct<pos, raw, context>> (pos is 0-based).
 
+    ``plain`` should be a column made with ``markable``, not a long expression: it is read once per hit.
+
     The text is split around marked hits, so pieces alternate text, hit, text, ...; a fold over the
     hits carries the offset. Everything stays inside the row: no shuffle, and only hit-sized values
     leave the row when the array is exploded.
     """
-    plain = F.replace(text, F.lit(MARK), F.lit(""))
     pieces = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK)
     start = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("hits"), F.lit(False).alias("hit")

@@ -16,6 +16,7 @@ from tollgauge.functions.text import (
     WORD_END,
     WORD_START,
     free_tier_label,
+    markable,
     pattern_confidence,
     pattern_hits,
     price_per_month,
@@ -178,7 +179,8 @@ def page_prices(text: Column) -> Column:
 
 def with_extractions(df: DataFrame, text: str, page_type: str | None = None) -> DataFrame:
     """Adds price, limit and footnote arrays, gated by page type when there is one."""
-    t = F.col(text)
+    df = df.withColumn("__plain", markable(F.col(text)))
+    t = F.col("__plain")
     pricing = F.lit(True) if page_type is None else F.col(page_type) == "pricing"
     disclosed = F.lit(True) if page_type is None else F.col(page_type).isin("pricing", "docs")
     out = df.withColumns({"prices": prices(F.when(pricing, t)), "__found": limits(F.when(disclosed, t))})
@@ -187,9 +189,9 @@ def with_extractions(df: DataFrame, text: str, page_type: str | None = None) ->
         {
             "prices": F.coalesce("prices", F.array().cast(_PRICES)),
             "limits": F.coalesce("limits", F.array().cast(_LIMIT)),
-            "footnotes": footnotes(t),
+            "footnotes": footnotes(F.col(text)),
         }
-    )
+    ).drop("__plain")
 
 
 def assumptions(text: Column, prices_: Column, limits_: Column, mentions: Column) -> Column:

@@ -10,13 +10,12 @@ from tollgauge.functions.text import MARK, squeeze
 
 # A match that starts and ends at a word boundary always covers whole word / non-word segments, so
 # a name can only sit where the same number of consecutive segments spells it out.
-_BOUNDARY = r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
+_SEGMENT = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
 
 
 def segments(text: Column) -> Column:
     """Text cut at every word boundary; the pieces concatenate back to the text."""
-    cut = F.split(F.regexp_replace(text, _BOUNDARY, MARK), MARK)
-    return F.filter(cut, lambda s: s != "")
+    return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
 
 
 def _clean(text: str) -> Column:
@@ -37,16 +36,11 @@ def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     if not spans:
         return docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(0).cast("bigint").alias("model_id")).where("false")
     segs = docs.select(key, segments(F.lower(_clean(text))).alias("segs"))
-
-    def grams(seg: Column, i: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(i.alias("at"), F.lit(n).alias("span"), F.concat(*[F.get("segs", i + d) for d in range(n)]).alias("gram"))
-                for n in spans
-            ]
-        )
-
-    tokens = segs.select(key, F.explode(F.flatten(F.transform("segs", grams))).alias("g")).select(key, "g.*")
+    # shifted copies side by side, so the n-grams are plain row expressions after the explode
+    shifted = [F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))).alias(f"s{d}") for d in range(max(spans))]
+    lined = segs.select(key, *shifted).select(key, F.posexplode(F.arrays_zip(*[f"s{d}" for d in range(max(spans))])).alias("at", "s"))
+    grams = [F.struct(F.lit(n).alias("span"), F.concat(*[F.col(f"s.s{d}") for d in range(n)]).alias("gram")) for n in spans]
+    tokens = lined.select(key, "at", F.explode(F.array(*grams)).alias("g")).select(key, "at", "g.*")
     return tokens.join(known, ["gram", "span"]).drop("gram")
 
 

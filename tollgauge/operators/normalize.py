@@ -266,6 +266,26 @@ def audit(df: DataFrame) -> DataFrame:
     )
 
 
+def audit_steps(df: DataFrame) -> DataFrame:
+    """The conversion chain as rows (``step``, ``chain_layer``, input, output): same content as ``conversion_chain``.
+
+    The step numbers are exploded, not the structs, so the row expressions stay small enough to compile.
+    """
+    ly, b, m, v = F.col("layer"), F.col("tokens_1mo"), F.col("monthly"), F.col("limit_value")
+    rows = df.withColumn("step", F.explode(F.when(ly == "time_window", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    raw, unit = ly.isin("direct_tokens", "time_window", "unknown"), F.lower("limit_unit")
+    window = F.when(ly == "time_window", F.col("reset_window")).when(ly == "direct_tokens", F.coalesce("reset_window", F.lit("1mo")))
+    return rows.withColumns(
+        {
+            "chain_layer": F.when(F.col("step") == 1, "requests").otherwise(ly),
+            "input_value": F.when(raw, v).otherwise(m),
+            "input_unit": F.when(raw, unit).when(ly == "usd_credits", "USD").otherwise(ly),
+            "output_tokens": F.when((ly != "time_window") | (F.col("step") == 1), b),
+            "target_window": F.when(ly == "unknown", "N/A").otherwise(F.coalesce(window, F.lit("1mo"))),
+        }
+    )
+
+
 def best_limit(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Most generous limit per plan: most tokens a month, the earliest limit on ties.
 

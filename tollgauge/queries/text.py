@@ -68,7 +68,7 @@ _BILL = r"\b(per\s*month|monthly|/mo|per\s*year|annually|/yr|per\s*seat|per\s*us
     ),
 )
 def page_prices(v: Views):
-    t = v.offer_text.withColumn("prices", X.prices(F.col("text"))).withColumn("free_label", T.free_tier_label(F.col("text")))
+    t = v.offer_text.withColumn("plain", T.markable(F.col("text"))).withColumn("prices", X.prices(F.col("plain"))).withColumn("free_label", T.free_tier_label(F.col("text")))
     return X.price_rows(t, [*KEYS, "free_label"]).withColumn("pos", F.col("pos").cast("bigint"))
 
 

@@ -190,15 +190,12 @@ _TEXT = {k: num_text(k) for k in ("monthly", "tokens_1mo", "tokens_1w", "tokens_
     ),
 )
 def normalise_audit(v: Views):
-    a = N.audit(N.normalize_limits(v.limit))
-    flat = a.select(
-        *KEYS, "conversion_chain",
-        F.size("warnings").cast("bigint").alias("warning_count"),
-        F.get("assumptions", F.lit(0)).alias("assumption"),
+    a = N.audit_steps(N.audit(N.normalize_limits(v.limit)))
+    return a.select(
+        *KEYS, "step", F.col("chain_layer").alias("layer"), "input_value", "input_unit", "output_tokens", "target_window",
+        F.size("warnings").cast("bigint").alias("warning_count"), F.get("assumptions", F.lit(0)).alias("assumption"),
         F.get_json_object("window_detail", "$.1mo").alias("detail_month"),
     )
-    steps = flat.select(*KEYS, "warning_count", "assumption", "detail_month", F.posexplode("conversion_chain").alias("step", "c"))
-    return steps.select(*KEYS, "step", "c.*", "warning_count", "assumption", "detail_month")
 
 
 @query(
