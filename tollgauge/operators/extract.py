@@ -213,13 +213,21 @@ def assumptions(text: Column, prices_: Column, limits_: Column, mentions: Column
 
 def price_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per price mention with its monthly amount."""
-    p = df.select(*keys, F.explode("prices").alias("p"))
-    monthly = price_per_month(F.col("p.amount"), F.col("p.interval"))
-    return p.select(*keys, "p.*", monthly.alias("effective_monthly"))
+    p = exploded(df, keys, F.col("prices"), "p").select(*keys, "p.*")
+    return p.withColumn("effective_monthly", price_per_month(F.col("amount"), F.col("interval")))
 
 
 def limit_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.explode("limits").alias("x")).select(*keys, "x.*")
+    return exploded(df, keys, F.col("limits"), "x").select(*keys, "x.*")
+
+
+def exploded(df: DataFrame, keys: list[str], items: Column, name: str) -> DataFrame:
+    """Explode a computed array.
+
+    An inner explode makes the optimizer add a size filter and push it down as a second copy of the whole
+    array expression; the outer form with a filter on its result is evaluated once.
+    """
+    return df.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
 def free_tier_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollgauge.functions.text import MARK, squeeze
+from tollgauge.functions.text import markable, squeeze
+from tollgauge.operators.extract import exploded
 
 # A match that starts and ends at a word boundary always covers whole word / non-word segments, so
 # a name can only sit where the same number of consecutive segments spells it out.
@@ -18,10 +19,6 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
 
 
-def _clean(text: str) -> Column:
-    return F.replace(F.col(text), F.lit(MARK), F.lit(""))
-
-
 def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """Every place a name occurs between word boundaries, before any claims: key, at, span, model_id, ord.
 
@@ -35,10 +32,10 @@ def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     spans = [r[0] for r in known.select("span").distinct().orderBy("span").collect()]
     if not spans:
         return docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(0).cast("bigint").alias("model_id")).where("false")
-    segs = docs.select(key, segments(F.lower(_clean(text))).alias("segs"))
+    segs = docs.select(key, segments(F.lower(markable(F.col(text)))).alias("segs"))
     # shifted copies side by side, so the n-grams are plain row expressions after the explode
     shifted = [F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))).alias(f"s{d}") for d in range(max(spans))]
-    lined = segs.select(key, *shifted).select(key, F.posexplode(F.arrays_zip(*[f"s{d}" for d in range(max(spans))])).alias("at", "s"))
+    lined = segs.select(key, *shifted).select(key, F.posexplode_outer(F.arrays_zip(*[f"s{d}" for d in range(max(spans))])).alias("at", "s"))
     grams = [F.struct(F.lit(n).alias("span"), F.concat(*[F.col(f"s.s{d}") for d in range(n)]).alias("gram")) for n in spans]
     tokens = lined.select(key, "at", F.explode(F.array(*grams)).alias("g")).select(key, "at", "g.*")
     return tokens.join(known, ["gram", "span"]).drop("gram")
@@ -55,7 +52,7 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: in
     per_doc = found.groupBy(key).agg(F.collect_list(F.struct("at", "span", "model_id", "display_name", "ord")).alias("found"))
     # a fixed partition count keeps AQE from folding this CPU-bound stage into a few tasks on small inputs
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(key, _clean(text).alias("plain")).repartition(parts, key).join(per_doc, key)
+    base = docs.select(key, markable(F.col(text)).alias("plain")).repartition(parts, key).join(per_doc, key)
     base = base.select(key, "found", segments(F.col("plain")).alias("segs"))
     base = base.withColumn("ats", F.array_sort(F.array_distinct(F.transform("found", lambda m: m["at"]))))
     # one pass over the segments; an offset is kept only where a candidate starts
@@ -100,7 +97,7 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: in
             m["raw"].alias("raw"), F.concat(head, around, tail).alias("snippet"),
         )
 
-    placed = base.select(key, F.explode(F.transform(F.transform("found", place), snippet)).alias("m")).select(key, "m.*")
+    placed = exploded(base, [key], F.transform(F.transform("found", place), snippet), "m").select(key, "m.*")
     placed = placed.withColumn("end", F.col("pos") + F.length("raw"))
     # a new run starts where no earlier candidate reaches; both windows use the join's partitioning by document
     by_pos = W.partitionBy(key).orderBy("pos", "end", "ord")
@@ -129,6 +126,6 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: in
         ),
     )
     won = F.aggregate(typed, start, claim, lambda s: s["kept"])
-    return grouped.select(key, F.explode(won).alias("w")).select(
+    return exploded(grouped, [key], won, "w").select(
         key, "w.model_id", "w.display_name", "w.raw", "w.pos", "w.snippet", F.lit("observed").alias("confidence")
     )

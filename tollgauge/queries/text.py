@@ -161,7 +161,7 @@ def _notes_sql(table: str, key: str) -> str:
 
 @query("doc_footnotes", _notes_sql("documents", "doc_id"))
 def doc_footnotes(v: Views):
-    return v.texts("documents", "doc_id", "text").select("doc_id", F.explode(X.footnotes(F.col("text"))).alias("footnote"))
+    return X.exploded(v.texts("documents", "doc_id", "text"), ["doc_id"], X.footnotes(F.col("text")), "footnote")
 
 
 @query(
@@ -171,7 +171,7 @@ def doc_footnotes(v: Views):
 )
 def page_footnotes(v: Views):
     t = v.texts("pages", "page_id", "html").select("page_id", T.readable_text(F.col("html")).alias("text"))
-    notes = t.select("page_id", F.explode(X.footnotes(F.col("text"))).alias("f"))
+    notes = X.exploded(t, ["page_id"], X.footnotes(F.col("text")), "f")
     return notes.groupBy("page_id").agg(F.count("*").alias("notes"), F.min(F.length("f")).cast("bigint").alias("shortest"))
 
 
@@ -255,7 +255,7 @@ def url_rules(v: Views):
 )
 def price_tolerance_diff(v: Views):
     plans = v.plan.select("provider_id", "plan_id", F.least("monthly_usd", "annual_usd").alias("price"))
-    found = v.offer_text.select("plan_id", F.explode(X.page_prices(F.col("text"))).alias("amount"))
+    found = X.exploded(v.offer_text, ["plan_id"], X.page_prices(F.col("text")), "amount")
     observed = found.join(plans.select("plan_id", "provider_id"), "plan_id").select("provider_id", "amount")
     return X.price_tolerance_match(plans, observed)
 
