@@ -12,7 +12,7 @@ from tollgauge.llm.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Words of a text in DuckDB.
-WORD_LIST = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORD_LIST = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ windows AS (SELECT r, i, list_aggregate(ws[i:i + 34], 'string_agg', ' ') AS s FR
 again AS (SELECT r, i FROM windows JOIN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1) USING (s)),
 gone AS (SELECT DISTINCT r, i + d AS i FROM again, unnest(range(0, 35)) AS t(d)),
 lists AS (SELECT r, list(i) AS gs FROM gone GROUP BY r),
-kept AS (SELECT doc_id, ws, CASE WHEN gs IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), p -> NOT list_contains(gs, p[2])), p -> p[1]) END AS ks
+kept AS (SELECT doc_id, ws, CASE WHEN gs IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda p: NOT list_contains(gs, p[2])), lambda p: p[1]) END AS ks
          FROM words LEFT JOIN lists USING (r))
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(ks) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256
