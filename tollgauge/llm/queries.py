@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tollgauge.llm.jaccard import op5_ngram_jaccard
 from tollgauge.llm.substrings import op9_substring_dedup
 from tollgauge.llm.tables import table
 
@@ -15,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORD_LIST = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return op5_ngram_jaccard(table(spark, folder, "documents"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return op9_substring_dedup(table(spark, folder, "documents"))
 
@@ -32,5 +37,8 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(ks) AS BIG
 FROM kept
 """
 
-QUERIES: dict[str, Query] = {"op9_substring_dedup": op9}
+QUERIES: dict[str, Query] = {
+    "op5_ngram_jaccard": op5,
+    "op9_substring_dedup": op9,
+}
 ORACLES: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
