@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tollgauge.llm.tables import by_key, row_key, stored
 from tollgauge.llm.words import mix, slices, text_buffer, window_hashes, word_hashes, word_spans
 
-HASHES, ROWS, STEP, BLOCK = 120, 5, 20, 1024
+HASHES, ROWS, STEP, BLOCK = 120, 5, 20, 512
 BANDS = HASHES // ROWS
 U = np.uint64
 

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tollgauge.llm.jaccard import op5_ngram_jaccard
+from tollgauge.llm.language import op3_language_id
+from tollgauge.llm.mixing import op4_fair_mix
+from tollgauge.llm.quality import op1_pu_quality
 from tollgauge.llm.substrings import op9_substring_dedup
 from tollgauge.llm.tables import table
 
@@ -16,6 +19,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORD_LIST = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return op1_pu_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return op3_language_id(table(spark, folder, "documents"))
+
+
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return op4_fair_mix(table(spark, folder, "documents"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return op5_ngram_jaccard(table(spark, folder, "documents"))
 
@@ -38,6 +53,9 @@ FROM kept
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_pu_quality": op1,
+    "op3_language_id": op3,
+    "op4_fair_mix": op4,
     "op5_ngram_jaccard": op5,
     "op9_substring_dedup": op9,
 }
