@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tollgauge.llm.jaccard import op5_ngram_jaccard
 from tollgauge.llm.language import op3_language_id
 from tollgauge.llm.mixing import op4_fair_mix
+from tollgauge.llm.outliers import op6_robust_outliers
 from tollgauge.llm.quality import op1_pu_quality
 from tollgauge.llm.substrings import op9_substring_dedup
 from tollgauge.llm.tables import table
@@ -35,6 +36,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return op5_ngram_jaccard(table(spark, folder, "documents"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return op6_robust_outliers(table(spark, folder, "documents"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return op9_substring_dedup(table(spark, folder, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3,
     "op4_fair_mix": op4,
     "op5_ngram_jaccard": op5,
+    "op6_robust_outliers": op6,
     "op9_substring_dedup": op9,
 }
 ORACLES: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
