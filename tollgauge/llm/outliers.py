@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tollgauge.llm.tables import WORDS, stored
 
-WINDOW = 8
+WINDOW, SALTS = 8, 32
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 VECTOR = ("length", "symbols", "capitals", "lines", "repeats")
@@ -92,6 +92,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def _by_group(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
+    """Join one row per group to its rows: a hot group is spread over salts, and the group's row is copied to each of them."""
+    return rows.join(per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"], how)
+
+
 def _estimate(rows: DataFrame, scale: float) -> DataFrame:
     """(g, centre, root): mean and inverse Cholesky factor of the covariance per group, floors added to the diagonal."""
     p = len(VECTOR)
@@ -123,28 +128,28 @@ def _distance() -> Column:
 def minimum_covariance(rows: DataFrame, keep: float = 0.75, steps: int = 4) -> DataFrame:
     """(g, n, centre, root) per group g of ``rows`` (g and the vector), by concentration steps and one reweighting."""
     middle = rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    off = rows.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
+    off = _by_group(rows, middle).groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
     p = len(VECTOR)
     root = F.array(*[F.array(*[F.lit(0.0)] * i, 1 / F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") * 1.4826**2 + FLOORS[i] ** 2)) for i in range(p)])
     now = stored(middle.join(off, "g").select("g", F.array(*[f"m{i}" for i in range(p)]).alias("centre"), root.alias("root")))
     for _ in range(steps):
-        away = rows.join(now, "g").select("g", *VECTOR, _distance().alias("away"))
+        away = _by_group(rows, now).select("g", *VECTOR, "salt", _distance().alias("away"))
         near = stored(away.groupBy("g").agg(F.percentile_approx("away", keep, 1000).alias("edge")))
-        now = stored(_estimate(away.join(near, "g").where("away <= edge"), CONSISTENCY))
-    away = rows.join(now.select("g", "centre", "root"), "g").select("g", *VECTOR, _distance().alias("away"))
+        now = stored(_estimate(_by_group(away, near).where("away <= edge"), CONSISTENCY))
+    away = _by_group(rows, now.select("g", "centre", "root")).select("g", *VECTOR, _distance().alias("away"))
     return stored(_estimate(away.where(F.col("away") <= REWEIGHT), 1.0))
 
 
 def quality_outliers(docs: DataFrame, limit: float = LIMIT, least: int = 50) -> DataFrame:
     """The base columns, ``distance`` (squared; null where no estimate applies) and ``kept`` per row of ``docs``."""
-    found = stored(statistics(docs))
+    found = stored(statistics(docs).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
     clean = found.where(~F.col("base_failed"))
     pair = F.to_json(F.struct("lang", "source"))  # names a group, nulls included
     large = clean.groupBy(pair.alias("g")).count().where(F.col("count") >= least).select("g", F.lit(True).alias("large"))
     group = F.when(F.col("large"), F.col("g")).otherwise(F.lit(""))
-    named = found.withColumn("g", pair).join(large, "g", "left").withColumn("g", group).drop("large")
-    estimate = minimum_covariance(named.where(~F.col("base_failed")).select("g", *VECTOR)).where(F.col("n") >= least // 2)
-    judged = named.join(estimate.select("g", "centre", "root"), "g", "left").withColumn("distance", _distance())
+    named = _by_group(found.withColumn("g", pair), large, "left").withColumn("g", group).drop("large")
+    estimate = minimum_covariance(named.where(~F.col("base_failed")).select("g", "salt", *VECTOR)).where(F.col("n") >= least // 2)
+    judged = _by_group(named, estimate.select("g", "centre", "root"), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= limit))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tollgauge.llm.archives import op8_warc_dictionary
 from tollgauge.llm.jaccard import op5_ngram_jaccard
 from tollgauge.llm.language import op3_language_id
 from tollgauge.llm.mixing import op4_fair_mix
+from tollgauge.llm.neighbours import op10_collision_neighbours
 from tollgauge.llm.outliers import op6_robust_outliers
 from tollgauge.llm.quality import op1_pu_quality
 from tollgauge.llm.substrings import op9_substring_dedup
@@ -40,10 +42,26 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return op6_robust_outliers(table(spark, folder, "documents"))
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return op8_warc_dictionary(table(spark, folder, "pages"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return op9_substring_dedup(table(spark, folder, "documents"))
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return op10_collision_neighbours(table(spark, folder, "embeddings"))
+
+
+OP8_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+first AS (SELECT html, max(page_id) AS first FROM page WHERE size >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM page LEFT JOIN first USING (html)
+"""
+
 OP9_SQL = f"""
 WITH words AS (SELECT doc_id, row_number() OVER () AS r, {WORD_LIST} AS ws FROM documents),
 windows AS (SELECT r, i, list_aggregate(ws[i:i + 34], 'string_agg', ' ') AS s FROM words, unnest(range(1, len(ws) - 33)) AS t(i)),
@@ -63,6 +81,8 @@ QUERIES: dict[str, Query] = {
     "op4_fair_mix": op4,
     "op5_ngram_jaccard": op5,
     "op6_robust_outliers": op6,
+    "op8_warc_dictionary": op8,
     "op9_substring_dedup": op9,
+    "op10_collision_neighbours": op10,
 }
-ORACLES: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op8_warc_dictionary": OP8_SQL, "op9_substring_dedup": OP9_SQL}
