@@ -12,6 +12,7 @@ from tollgauge.llm.language import op3_language_id
 from tollgauge.llm.mixing import op4_fair_mix
 from tollgauge.llm.neighbours import op10_collision_neighbours
 from tollgauge.llm.outliers import op6_robust_outliers
+from tollgauge.llm.pieces import op2_sentencepiece
 from tollgauge.llm.quality import op1_pu_quality
 from tollgauge.llm.substrings import op9_substring_dedup
 from tollgauge.llm.tables import table
@@ -26,6 +27,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return op1_pu_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return op2_sentencepiece(table(spark, folder, "documents"))
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return op3_language_id(table(spark, folder, "documents"))
 
@@ -77,6 +82,7 @@ FROM kept
 
 QUERIES: dict[str, Query] = {
     "op1_pu_quality": op1,
+    "op2_sentencepiece": op2,
     "op3_language_id": op3,
     "op4_fair_mix": op4,
     "op5_ngram_jaccard": op5,
