@@ -249,5 +249,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     )
 
 
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id (null last); rows without words all stay."""
+    found = near_duplicates(docs, n, threshold).where("class_root IS NOT NULL")
+    keep = found.groupBy("class_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select(F.col("first.k").alias("k_"))
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(some).withColumn("k_", row_key("doc_id", "text")).join(keep, "k_", "left_semi").dropDuplicates(["k_"]).drop("k_")
+    return kept.unionByName(docs.where(~some))
+
+
 def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id", "n_links")

@@ -15,6 +15,7 @@ from tollgauge.llm.outliers import op6_robust_outliers
 from tollgauge.llm.pieces import op2_sentencepiece
 from tollgauge.llm.quality import op1_pu_quality
 from tollgauge.llm.substrings import op9_substring_dedup
+from tollgauge.llm.surrogates import op7_pii_surrogates
 from tollgauge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return op6_robust_outliers(table(spark, folder, "documents"))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return op7_pii_surrogates(table(spark, folder, "documents"))
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return op8_warc_dictionary(table(spark, folder, "pages"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op4_fair_mix": op4,
     "op5_ngram_jaccard": op5,
     "op6_robust_outliers": op6,
+    "op7_pii_surrogates": op7,
     "op8_warc_dictionary": op8,
     "op9_substring_dedup": op9,
     "op10_collision_neighbours": op10,
