@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tollgauge.llm.tables import by_key, pieces, row_key
 from tollgauge.llm.words import SECOND_BASE, WINDOW_BASE, slices, text_buffer, window_hashes, word_hashes, word_spans
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 LISTS = {"h": pa.int64(), "g": pa.int32(), "m": pa.int64(), "mg": pa.int32(), "k": pa.int64(), "n": pa.int32(), "p": pa.int32()}
 ENTRIES = pa.schema([("piece", pa.int64()), *[(c, pa.list_(t)) for c, t in LISTS.items()]])
 ENTRIES_DDL = "piece long, " + ", ".join(f"{c} array<{'long' if t == pa.int64() else 'int'}>" for c, t in LISTS.items())
