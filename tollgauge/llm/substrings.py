@@ -89,18 +89,22 @@ def _settle(h: np.ndarray, g: np.ndarray, k: np.ndarray, p: np.ndarray, parts: i
         yield _row(int(x), h=h[a].view(np.int64), g=g[a].view(np.int32), m=mh[m].view(np.int64), mg=mg[m].view(np.int32), **_packed(k[a], p[a]))
 
 
-def _matched(parts: int):
-    """Per piece: the places whose hash occurs twice in the piece or carries a marker, as one list per row key."""
+def _unpacked(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Flat lists of a piece's rows, and its (row key, position) pairs."""
+    flat = {c: t.column(c).combine_chunks().flatten().to_numpy() for c in LISTS}
+    rows = np.diff(t.column("p").combine_chunks().offsets.to_numpy())
+    start = np.cumsum(rows) - rows
+    total = np.cumsum(flat["p"], dtype=np.int64)
+    base = np.where(start > 0, total[np.maximum(start, 1) - 1], 0) if len(total) else start
+    return flat, np.repeat(flat["k"], flat["n"]), total - np.repeat(base, rows)
+
+
+def _matched(parts: int, homes: int):
+    """Per piece: the places whose hash occurs twice in the piece or carries a marker, dealt by row key to ``homes`` groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, "piece"):
-            flat = {c: t.column(c).combine_chunks().flatten().to_numpy() for c in LISTS}
-            k = np.repeat(flat["k"], flat["n"])
-            rows = np.diff(t.column("p").combine_chunks().offsets.to_numpy())
-            start = np.cumsum(rows) - rows
-            total = np.cumsum(flat["p"], dtype=np.int64)
-            base = np.where(start > 0, total[np.maximum(start, 1) - 1], 0) if len(total) else start
-            p = total - np.repeat(base, rows)
+            flat, k, p = _unpacked(t)
             if t.column("piece")[0].as_py() < parts:
                 h, g = np.concatenate([flat["h"], flat["m"]]), np.concatenate([flat["g"], flat["mg"]])
                 order = np.lexsort((g, h))
@@ -114,16 +118,26 @@ def _matched(parts: int):
                     marked[order] = np.repeat(np.maximum.reduceat(order >= len(flat["h"]), first), size)
                 keep = (keep | marked)[: len(flat["h"])]
                 k, p = k[keep], p[keep]
-            if not len(k):
-                continue
-            order = np.argsort(k, kind="stable")
-            k, p = k[order], p[order]
-            first = _runs(k)
-            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(k)), pa.int32()), pa.array(p, pa.int32()))], schema=PLACES)
+            home = (k.view(np.uint64) % np.uint64(homes)).astype(np.int64)
+            order = np.lexsort((k, home))
+            cut = np.searchsorted(home[order], np.arange(homes + 1))
+            for x in np.flatnonzero(np.diff(cut)):
+                own = order[cut[x] : cut[x + 1]]
+                yield _row(int(x), **_packed(k[own], p[own]))
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of a row key as one list."""
+    for t in by_key(batches, "piece"):
+        _, k, p = _unpacked(t)
+        order = np.argsort(k, kind="stable")
+        k, p = k[order], p[order]
+        first = _runs(k)
+        yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(k)), pa.int32()), pa.array(p, pa.int32()))], schema=PLACES)
+
+
 def _anchors(window: int, period: int, parts: int):
     cover, length = np.array(difference_cover(period)), window - period + 1
 
@@ -210,8 +224,9 @@ def _kept(window: int):
 
 def _grouped(entries: DataFrame, parts: int) -> DataFrame:
     """Places per row key, from entries dealt by piece."""
-    found = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(_matched(parts), PLACES_DDL)
-    return found.groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
+    homes = max(entries.sparkSession.sparkContext.defaultParallelism, parts // 8)
+    found = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(_matched(parts, homes), ENTRIES_DDL)
+    return found.repartition("piece").sortWithinPartitions("piece").mapInArrow(_gathered, PLACES_DDL)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, period: int = 21) -> DataFrame:
