@@ -34,8 +34,8 @@ def without_noise(html: Column) -> Column:
     return trim_space(F.regexp_replace(blocks, r"(?s)<!--.*?-->", ""))
 
 
-def readable_text(html: Column, cap: int = 524_288) -> Column:
-    """Tags removed, six entities decoded in a fixed order, white space squeezed, length capped."""
+def readable_text(html: Column, cap: int | None = None) -> Column:
+    """Tags removed, six entities decoded in a fixed order, white space squeezed; cut to ``cap`` characters only if that is asked for."""
     t = F.regexp_replace(html, r"<[^>]*>", "")
     # fixed values: entity -> text, applied in this order
     for entity, char in (
@@ -47,7 +47,7 @@ def readable_text(html: Column, cap: int = 524_288) -> Column:
         ("&#x27;", "'"),
     ):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.left(squeeze(t), F.lit(cap))
+    return squeeze(t) if cap is None else F.left(squeeze(t), F.lit(cap))
 
 
 def content_hash(body: Column) -> Column:

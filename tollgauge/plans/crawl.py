@@ -13,8 +13,6 @@ from tollgauge.operators.history import PAGE, changed_now
 from tollgauge.operators.mentions import mentions
 from tollgauge.session import durable
 
-STORED_TEXT = 500_000
-
 
 @dataclass
 class CrawlResult:
@@ -51,7 +49,7 @@ def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force:
         F.struct("footnotes", X.assumptions(F.col("text"), F.col("prices"), F.col("limits"), F.col("mention_count")).alias("assumptions"))
     )
     with_text = noted.select(
-        "page_key", *PAGE, "observed_at", "content_hash", F.left("text", F.lit(STORED_TEXT)).alias("extracted_text"), notes.alias("notes")
+        "page_key", *PAGE, "observed_at", "content_hash", F.col("text").alias("extracted_text"), notes.alias("notes")
     )
     same = compared.where(~F.col("changed")).select(
         "page_key", *PAGE, "observed_at", "content_hash", F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("string").alias("notes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tollgauge.functions import basics as B
@@ -144,15 +145,15 @@ _PRICED = "SELECT *, least(monthly_usd, annual_usd) AS price FROM plan"
     "grid_filter_sort",
     sql(
         """SELECT plan_id, tier, price, CAST(row_number() OVER (ORDER BY price NULLS LAST, plan_id) AS BIGINT) AS position FROM priced
-           WHERE price <= 60 QUALIFY position <= 200""",
+           WHERE price <= 60""",
         "plan", priced=_PRICED,
     ),
 )
 def grid_filter_sort(v: Views):
-    from tollgauge.operators.ordering import top_overall
+    from tollgauge.operators.ordering import global_rank
 
     kept = G.grid_filter(G.priced(v.plan), max_price=60)
-    return top_overall(kept, G.grid_order("price"), 200, "position").select(
+    return global_rank(kept, G.grid_order("price"), "position").select(
         "plan_id", "tier", "price", F.col("position").cast("bigint").alias("position")
     )
 
@@ -493,9 +494,7 @@ def score_bands(v: Views):
 )
 def provider_catalog_order(v: Views):
     """Providers per category by their best coding index."""
-    from tollgauge.operators.ordering import top_per_group
-
     best = v.model.join(v.score.select("model_id", "coding"), "model_id").groupBy("provider_id").agg(F.max("coding").alias("b"))
     j = v.provider.join(best, "provider_id", "left").withColumn("strength", F.coalesce("b", F.lit(-1.0)))
-    ranked = top_per_group(j, ["category"], [F.col("strength").desc(), F.col("provider_id").asc()], 1_000_000_000, "position")
+    ranked = j.withColumn("position", F.row_number().over(Window.partitionBy("category").orderBy(F.col("strength").desc(), F.col("provider_id").asc())))
     return ranked.select("category", "provider_id", F.col("position").cast("bigint").alias("position"), as_of().alias("as_of"))

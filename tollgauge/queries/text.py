@@ -23,7 +23,7 @@ def _readable(x: str) -> str:
     t = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for e, c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''")):
         t = f"replace({t}, '{e}', '{c}')"
-    return f"left({_squeeze(t)}, 524288)"
+    return _squeeze(t)
 
 
 def _no_noise(x: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +25,8 @@ def build_session(master: str | None = None, app: str = "tollgauge", **conf: str
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so later stages read one fixed copy.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    folder of its own; on a cluster a missing setting is an error, not a reason to use local disk.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session without that setting gets one
+    beside its warehouse; on a cluster a missing setting is an error, not a reason to use local disk.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -37,7 +35,7 @@ def durable(df: DataFrame) -> DataFrame:
         if configured:
             sc.setCheckpointDir(configured)
         elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tollgauge-"))
+            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints")
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint(eager=True)

@@ -34,10 +34,11 @@ def read_table(spark: SparkSession, path: str, required: Sequence[str] = (), all
 
 
 def read_or_none(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame | None:
-    try:
-        return spark.read.format(format).load(path)
-    except AnalysisException:
+    """The table at ``path``, or None where nothing is there; a table that can't be read raises its error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.format(format).load(path)
 
 
 # --- seeding -------------------------------------------------------------------------------
@@ -109,8 +110,9 @@ def replace_date(df: DataFrame, path: str, observed: Column) -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append rows whose keys the table does not hold, so a repeated batch adds nothing."""
+    """Append one row for each key that the table does not hold, so a repeated batch, or a key repeated inside it, adds nothing."""
     stored = read_or_none(df.sparkSession, path)
+    df = df.dropDuplicates(list(keys))
     fresh = df if stored is None else df.join(stored.select(*keys), list(keys), "left_anti")
     fresh.write.mode("append").parquet(path)
 
