@@ -160,3 +160,11 @@ def test_extracted_price_per_month(one):
     assert one(T.price_per_month(num(200), F.lit("annual"))) == 16.67
     assert one(T.price_per_month(num(0), F.lit(None).cast("string"))) == 0
     assert one(T.price_per_month(num(19.99), F.lit(None).cast("string"))) == 19.99
+
+
+def test_token_text_rounds_exact_values(spark):
+    from tollgauge.functions import basics
+
+    cases = {1_335_000.0: "1.33M", 1_125_000.0: "1.13M", 2_675_000.0: "2.67M", 1_005_000.0: "1.00M", 1_250.0: "1.3K", 1_000.0: "1K", 7_000_000.0: "7M"}
+    rows = spark.createDataFrame([(k,) for k in cases], "n double")
+    assert {r.n: r.t for r in rows.select("n", basics.token_text(rows.n).alias("t")).collect()} == cases

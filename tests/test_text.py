@@ -174,3 +174,10 @@ def test_robots(spark):
     assert decide(spark, ROBOTS, "RateBot/2", ["/x", "/pricing/a"]) == [(False, None), (True, None)]
     assert decide(spark, "User-agent: nobody\nDisallow: /", "me", ["/x"]) == [(True, None)]
     assert decide(spark, "User-agent: *\nDisallow: /a\nAllow: /a", "me", ["/a"]) == [(True, None)]
+
+
+def test_mentions_after_letters_with_ascii_lower_forms(spark):
+    docs = spark.createDataFrame([(1, "\u212a works, Alpha works"), (2, "\u0130zmir and Alpha")], "k int, text string")
+    names = spark.createDataFrame([(7, "alpha", 0)], "model_id bigint, display_name string, ord bigint")
+    got = {r.k: (r.raw, r.pos) for r in M.mentions(docs, names, "k", "text").collect()}
+    assert got == {1: ("Alpha", 9), 2: ("Alpha", 10)}

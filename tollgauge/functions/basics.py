@@ -141,7 +141,15 @@ def current_model(released: Column, as_of: Column, months: int = K.MODEL_RECENCY
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """Fixed decimals of the double's exact value (1.335 is a little less than that: 1.33), exact ties away from zero.
+
+    ``size * scale`` may round onto a tie, so the distance to it is taken from two parts whose products are exact.
+    """
+    scale, size = float(10**digits), F.abs(x.cast("double"))
+    below, head = F.floor(size * scale).cast("double"), size.cast("float").cast("double")
+    beyond = (head * scale - (below + 0.5)) + (size - head) * scale
+    rounded = (below + F.when(beyond >= 0, 1.0).otherwise(0.0)) / scale
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", rounded))
 
 
 def price_text(price: Column) -> Column:

@@ -12,6 +12,9 @@ from tollgauge.operators.extract import exploded
 # A match that starts and ends at a word boundary always covers whole word / non-word segments, so
 # a name can only sit where the same number of consecutive segments spells it out.
 _SEGMENT = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
+# The Kelvin sign and the dotted capital I are the only letters whose lower form has an ASCII letter in it. They are
+# put out of the way first, so lower-case text is cut at the same places as the text itself.
+_ODD, _ASIDE = "\u212a\u0130", "\ue000\ue001"
 
 
 def segments(text: Column) -> Column:
@@ -19,6 +22,11 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Lower case that keeps every cut between segments."""
+    return F.lower(F.translate(text, _ODD, _ASIDE))
+
+
 def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """Every place a name occurs between word boundaries, before any claims: key, at, span, model_id, ord.
 
@@ -26,13 +34,13 @@ def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFr
     generated. Small name tables join without a shuffle, large ones by hash of the n-gram.
     """
     known = names.where(F.length("display_name") > 0).select(
-        "model_id", "display_name", "ord", F.lower("display_name").alias("gram"),
+        "model_id", "display_name", "ord", folded(F.col("display_name")).alias("gram"),
         F.size(segments(F.col("display_name"))).alias("span"),
     )
     spans = [r[0] for r in known.select("span").distinct().orderBy("span").collect()]
     if not spans:
         return docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(0).cast("bigint").alias("model_id")).where("false")
-    segs = docs.select(key, segments(F.lower(markable(F.col(text)))).alias("segs"))
+    segs = docs.select(key, segments(folded(markable(F.col(text)))).alias("segs"))
     # shifted copies side by side, so the n-grams are plain row expressions after the explode
     shifted = [F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))).alias(f"s{d}") for d in range(max(spans))]
     lined = segs.select(key, *shifted).select(key, F.posexplode_outer(F.arrays_zip(*[f"s{d}" for d in range(max(spans))])).alias("at", "s"))

@@ -440,22 +440,21 @@ _N = num_text("limit_value")
            CASE WHEN price IS NULL THEN '—' WHEN price = floor(price) THEN printf('$%.0f', price) ELSE printf('$%.2f', price) END AS label,
            CASE WHEN price IS NULL THEN 'high' WHEN price = 0 THEN 'free' WHEN price <= 30 THEN 'low' WHEN price <= 80 THEN 'mid' ELSE 'high' END AS display_band,
            CASE WHEN tokens_1mo IS NULL THEN '—' WHEN tokens_1mo = 0 THEN '0' WHEN tokens_1mo >= 1000000 THEN CASE WHEN tokens_1mo % 1000000 = 0
-             THEN printf('%.0fM', tokens_1mo / 1e6) ELSE printf('%.2fM', tokens_1mo / 1e6) END WHEN tokens_1mo >= 1000 THEN CASE WHEN tokens_1mo % 1000 = 0
-             THEN printf('%.0fK', tokens_1mo / 1e3) ELSE printf('%.1fK', tokens_1mo / 1e3) END ELSE {num_text("tokens_1mo")} END AS token_text,
+             THEN printf('%.0fM', tokens_1mo / 1e6) ELSE printf('%.2fM', tokens_1mo / 1e6 + CASE WHEN tokens_1mo % 250000 = 125000 THEN 1e-4 ELSE 0 END) END WHEN tokens_1mo >= 1000 THEN CASE WHEN tokens_1mo % 1000 = 0
+             THEN printf('%.0fK', tokens_1mo / 1e3) ELSE printf('%.1fK', tokens_1mo / 1e3 + CASE WHEN tokens_1mo % 500 = 250 THEN 1e-3 ELSE 0 END) END ELSE {num_text("tokens_1mo")} END AS token_text,
            limit_text, CASE WHEN limit_value IS NULL OR limit_type = 'unknown' THEN '—' ELSE {_N} || coalesce(' ' || limit_unit, '') END AS value_text,
            CASE pricing_confidence WHEN 'observed' THEN 'Verified' WHEN 'inferred' THEN 'Inferred' WHEN 'assumed' THEN 'Estimated' WHEN 'stale' THEN 'Stale'
              ELSE 'Unknown' END AS confidence_label,
            CASE WHEN length(plan_name) > 7 THEN left(plan_name, 7) || '…' ELSE plan_name END AS short_name FROM (
-             SELECT p.*, l.tokens_1mo, l.limit_value, l.limit_type, l.limit_unit, replace(replace(replace(l.limit_type, 'credits', 'Credits'), 'unknown', 'Unknown'), '_', ' ') AS limit_text
-             FROM (SELECT *, least(monthly_usd, annual_usd) AS price FROM plan) p JOIN norm_table l ON l.plan_id = p.plan_id WHERE l.limit_type IN ('credits', 'unknown'))""",
+             SELECT p.*, l.tokens_1mo, l.limit_value, l.limit_type, l.limit_unit, array_to_string(list_transform(string_split(l.limit_type, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS limit_text
+             FROM (SELECT *, least(monthly_usd, annual_usd) AS price FROM plan) p JOIN norm_table l ON l.plan_id = p.plan_id)""",
         "plan", "norm_table",
     ),
 )
 def formatted_values(v: Views):
     from tollgauge.operators.normalize import normalize_limits
 
-    unknown = normalize_limits(v.limit).where(F.col("limit_type").isin("credits", "unknown"))
-    j = G.priced(v.plan).join(unknown.select("plan_id", "tokens_1mo", "limit_value", "limit_type", "limit_unit"), "plan_id")
+    j = G.priced(v.plan).join(normalize_limits(v.limit).select("plan_id", "tokens_1mo", "limit_value", "limit_type", "limit_unit"), "plan_id")
     p = F.col("price")
     return j.select(
         "plan_id", B.price_text(p).alias("price_text"), B.catalog_price_text(p).alias("catalog_text"), B.price_label(p).alias("label"),

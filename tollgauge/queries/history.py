@@ -202,15 +202,14 @@ def run_ledger(v: Views):
     "score_refresh_due",
     sql(
         """SELECT source, newest, newest IS NULL OR DATE '2024-02-05' - newest > 7 AS refresh FROM (
-           SELECT 'scores' AS source, max(observed_at) AS newest FROM score UNION ALL SELECT 'pages', CAST(max(ts) AS DATE) FROM events WHERE event_type = 'none')""",
+           SELECT 'scores' AS source, max(observed_at) AS newest FROM score UNION ALL SELECT 'pages', CAST(max(ts) AS DATE) FROM events)""",
         "score",
     ),
 )
 def score_refresh_due(v: Views):
     day = as_of("2024-02-05")
     scores = H.needs_refresh(v.score, "observed_at", day).select(F.lit("scores").alias("source"), "newest", "refresh")
-    missing = v.table("events").where(F.col("event_type") == "none").select(F.col("ts").cast("date").alias("d"))
-    pages = H.needs_refresh(missing, "d", day).select(F.lit("pages").alias("source"), "newest", "refresh")
+    pages = H.needs_refresh(v.table("events").select(F.col("ts").cast("date").alias("d")), "d", day).select(F.lit("pages").alias("source"), "newest", "refresh")
     return scores.unionByName(pages)
 
 
@@ -256,15 +255,18 @@ def assumption_review(v: Views):
 @query(
     "assumption_review_top",
     sql(
-        f"""SELECT plan_id, confidence FROM (SELECT plan_id, {effective("pricing_confidence", "accessed_date")} AS confidence FROM scoped_plan)
-           WHERE confidence IN ('assumed', 'stale') ORDER BY plan_id LIMIT 25""",
-        "scoped_plan",
+        f"""SELECT plan_id, field, order_id, line, confidence FROM (
+             SELECT plan_id, 'Pricing' AS field, 0 AS order_id, 0 AS line, {effective("pricing_confidence", "accessed_date")} AS confidence FROM scoped_plan
+             UNION ALL SELECT plan_id, replace(limit_type, '_', ' '), order_id, line, {effective("confidence", "accessed_date")} FROM plan_limit
+               WHERE plan_id IN (SELECT plan_id FROM scoped_plan))
+           WHERE confidence IN ('assumed', 'stale') ORDER BY plan_id, order_id, line, field, confidence LIMIT 25""",
+        "scoped_plan", "plan_limit",
     ),
 )
 def assumption_review_top(v: Views):
-    """The first 25 prices to review."""
-    listed = H.review_list(v.scoped_plan, v.limit, as_of()).where(F.col("field") == "Pricing")
-    return listed.orderBy("plan_id").limit(25).select("plan_id", "confidence")
+    """The first 25 entries to review: plan by plan, its price before its limits."""
+    listed = H.review_list(v.scoped_plan, v.limit, as_of()).select("plan_id", "field", "order_id", "line", "confidence")
+    return listed.orderBy("plan_id", "order_id", "line", "field", "confidence").limit(25)
 
 
 @query(

@@ -264,7 +264,9 @@ def provenance_census(v: Views):
     return c.groupBy("path", "confidence").agg(F.count("*").alias("records"), F.min("accessed_date").alias("oldest"))
 
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES))

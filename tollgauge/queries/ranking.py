@@ -95,23 +95,22 @@ def plan_model_estimates(v: Views):
            floor(model_adjusted_1mo * 24e0 / 730e0 + 0.5) AS model_adjusted_24h, floor(model_adjusted_1mo * 5e0 / 730e0 + 0.5) AS model_adjusted_5h
            FROM c""",
         "plan_limit",
-        c="""SELECT l.plan_id, q.model_id, l.limit_value AS best_value, floor(coalesce(l.limit_value, 0e0) * 0.01e0 *
-           (1e6 / (q.price_in * 0.3e0 + q.price_out * 0.7e0)) + 0.5) AS model_adjusted_1mo
+        c="""SELECT l.plan_id, r.model_id, l.limit_value AS best_value, CASE WHEN q.price_in * 0.3e0 + q.price_out * 0.7e0 > 0 THEN floor(coalesce(l.limit_value, 0e0) * 0.01e0 *
+           (1e6 / (q.price_in * 0.3e0 + q.price_out * 0.7e0)) + 0.5) END AS model_adjusted_1mo
            FROM (SELECT plan_id, max(limit_value) AS limit_value FROM document_limit WHERE limit_type = 'credits' GROUP BY plan_id) l
-           JOIN plan_model r ON r.plan_id = l.plan_id AND r.access_type <> 'legacy' JOIN score q ON q.model_id = r.model_id
-           WHERE q.price_in * 0.3e0 + q.price_out * 0.7e0 > 0""",
+           JOIN plan_model r ON r.plan_id = l.plan_id AND r.access_type <> 'legacy' LEFT JOIN score q ON q.model_id = r.model_id""",
     ),
 )
 def cost_adjusted_tokens(v: Views):
-    """Largest credit budget of each plan at the prices of every model it offers."""
+    """Largest credit budget of each plan at the prices of every model it offers; null tokens where a model has no price."""
     credits = (
         N.document_limit(v.limit).where(F.col("limit_type") == "credits").groupBy("plan_id").agg(F.max("limit_value").alias("best_value"))
     )
     refs = v.plan_model.where(F.col("access_type") != "legacy").select("plan_id", "model_id")
     prices = v.score.select("model_id", "price_in", "price_out")
     month = C.cost_adjusted_month(F.lit("credits"), F.col("best_value"), F.col("price_in"), F.col("price_out"))
-    out = credits.join(refs, "plan_id").join(prices, "model_id").withColumn("model_adjusted_1mo", month)
-    return out.where(C.blended_price(F.col("price_in"), F.col("price_out")) > 0).select(
+    out = credits.join(refs, "plan_id").join(prices, "model_id", "left").withColumn("model_adjusted_1mo", month)
+    return out.select(
         "plan_id", "model_id", "best_value", "model_adjusted_1mo",
         *[C.cost_adjusted_window(F.col("model_adjusted_1mo"), t).alias(f"model_adjusted_{t}") for t in ("1w", "24h", "5h")],
     )
@@ -355,11 +354,12 @@ def plan_score_branches(v: Views):
         c="""SELECT *, CASE WHEN cost100 > 0 THEN intel / cost100 END AS intel_per_cost, CASE WHEN cost100 > 0 THEN intel * tps / cost100 END AS composite FROM (
            SELECT model_id, coalesce(intelligence, 0e0) AS intel, coalesce(speed, 1e0) AS tps,
              (price_in * 7000 / 1000000 + coalesce(cost_per_task, price_in) * 3000 / 1000000 + (1000 + 10 * coalesce(agentic, 0e0)) * price_out / 1000000) * 100 AS cost100
-           FROM score WHERE price_in > 0)""",
+           FROM (SELECT * REPLACE (CASE WHEN price_in > 0 THEN price_in END AS price_in) FROM score))""",
     ),
 )
 def task_cost_efficiency(v: Views):
-    s = v.score.where(F.col("price_in") > 0)
+    """Models without a positive input price stay, with null costs."""
+    s = v.score.withColumn("price_in", F.when(F.col("price_in") > 0, F.col("price_in")))
     models = s.select(
         "model_id", F.coalesce("intelligence", F.lit(0.0)).alias("intel"), F.coalesce("speed", F.lit(1.0)).alias("tps"), "price_in",
         F.col("cost_per_task").alias("price_cache"), "price_out",

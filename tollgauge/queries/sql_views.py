@@ -86,12 +86,12 @@ VIEWS: dict[str, str] = {
         CASE WHEN limit_type LIKE '%\\_per\\_minute' ESCAPE '\\' THEN '1h' WHEN limit_type LIKE '%\\_per\\_day' ESCAPE '\\' THEN '1d'
           WHEN limit_type LIKE '%\\_per\\_week' ESCAPE '\\' THEN '1w' WHEN limit_type LIKE '%\\_per\\_month' ESCAPE '\\' THEN '1mo'
           END AS reset_window) FROM plan_limit""",
-    "score_last": """SELECT user_id, event_type, CASE WHEN value <= 120 THEN least(100e0, value) END AS idx, value, event_id
+    "score_last": """SELECT user_id, event_type, CASE WHEN value IS NOT NULL THEN least(100e0, value) END AS idx, value, event_id
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "score_any": """SELECT user_id, event_id AS last_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(ts AS DATE) AS observed_at
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "score": """SELECT a.user_id AS model_id, p.idx AS intelligence, v.idx AS coding, c.idx AS agentic, s.idx AS speed,
-        e.value / 10 AS price_in, e.value / 10 * 3 AS price_out, CASE WHEN k > 9 THEN k / 100 END AS cost_per_task, observed_at,
+        e.value / 10 AS price_in, e.value / 10 * 3 AS price_out, k / 100 AS cost_per_task, observed_at,
         CASE WHEN last_id % 11 = 0 THEN 'unknown' WHEN last_id % 5 < 3 THEN 'observed' WHEN last_id % 5 = 3 THEN 'inferred'
           ELSE 'assumed' END AS confidence
         FROM score_any a

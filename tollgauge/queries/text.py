@@ -263,7 +263,7 @@ def price_tolerance_diff(v: Views):
 @query(
     "price_diff_report",
     """WITH page AS (SELECT CAST(n_nationkey AS BIGINT) AS provider_id, list_sort(list(DISTINCT CAST(c_mktsegment_amount AS DOUBLE))) AS found FROM (
-         SELECT n_nationkey, floor(abs(c_acctbal) / 100) AS c_mktsegment_amount FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'MACHINERY')
+         SELECT n_nationkey, floor(abs(c_acctbal) / 100) AS c_mktsegment_amount FROM customer JOIN nation ON n_nationkey = c_nationkey)
          WHERE c_mktsegment_amount > 0 AND c_mktsegment_amount < 10000 GROUP BY n_nationkey),
        p AS (SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) % 25 AS provider_id, p_partkey AS plan_id,
          CASE p_type WHEN 'PROMO' THEN NULL WHEN 'SMALL' THEN 0e0 ELSE p_size * 2e0 END AS price FROM part),
@@ -274,7 +274,7 @@ def price_tolerance_diff(v: Views):
 )
 def price_diff_report(v: Views):
     """Diff summary where a provider's page is one text listing its customers' balances as prices."""
-    c, n = v.table("customer").where(F.col("c_mktsegment") == "MACHINERY"), v.table("nation")
+    c, n = v.table("customer"), v.table("nation")
     amounts = c.join(n, c.c_nationkey == n.n_nationkey).select(
         F.col("n_nationkey").cast("bigint").alias("provider_id"), F.floor(F.abs("c_acctbal") / 100).alias("a")
     ).distinct()

@@ -162,9 +162,11 @@ def validation_problems(docs: DataFrame) -> DataFrame:
 def load_providers(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
     """Strict read: raises when any document breaks a rule, then keeps in-scope plans and current models."""
     docs = read_documents(spark, path)
-    broken = validation_problems(docs).limit(20).collect()
-    if broken:
-        lines = [f'Provider "{r.provider_id}": {r.path} {r.message}' for r in broken]
+    found = validation_problems(docs)
+    shown = found.limit(20).collect()
+    if shown:
+        lines = [f'Provider "{r.provider_id}": {r.path} {r.message}' for r in shown]
+        lines.append(f"{found.count()} problems in all; validation_problems lists them")
         raise InvalidDocuments("Data validation failed:\n" + "\n".join(lines))
     return docs.withColumns(
         {

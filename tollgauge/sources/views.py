@@ -147,7 +147,7 @@ class Views:
         """Latest event value per model and kind, pivoted into index columns by one hash aggregation."""
         e = self.table("events")
         key = recency_key(F.col("ts"), F.col("event_id"))
-        indexed = F.when(F.col("value") <= 120, F.least(F.lit(100.0), F.col("value")))
+        indexed = F.when(F.col("value").isNotNull(), F.least(F.lit(100.0), F.col("value")))
 
         def newest(kind: str) -> Column:
             return F.max_by(indexed, F.when(F.col("event_type") == kind, key))
@@ -173,7 +173,7 @@ class Views:
             "speed",
             (F.col("price") / 10).alias("price_in"),
             (F.col("price") / 10 * 3).alias("price_out"),
-            F.when(F.col("k") > 9, F.col("k") / 100).alias("cost_per_task"),
+            (F.col("k") / 100).alias("cost_per_task"),
             "observed_at",
             conf.when(F.col("last_id") % 5 == 3, "inferred").otherwise("assumed").alias("confidence"),
         )
