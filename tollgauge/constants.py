@@ -121,6 +121,8 @@ NOTE_SPEED_MISSING = "Speed score missing — using 50/100 fallback"
 NOTE_NO_INDEX = "No agentic or coding index — WMQ cannot be computed"
 NOTE_REDISTRIBUTED = " index missing — weights redistributed to available indices"
 NOTE_ZERO_COST = "Model cost is zero — cannot compute cost-adjusted estimate"
+NOTE_BLENDED = ("Model cost adjustment: blended $", "/1M tokens (30% input, 70% output). 1 credit = $0.01 assumed.")
+NOTE_EFFICIENCY = ("Efficiency multiplier ", "× (cost-per-task $", " vs median $", ")")
 NOTE_NEUTRAL = "No cost-per-task data — efficiency neutral"
 NOTE_NO_BENCHMARK = "Benchmark index defaulted to 0 — no coding benchmark data available for included models."
 NOTE_NO_PRICE = "Pricing unknown — QAMU requires a price; fell back to legacy score."

@@ -140,7 +140,7 @@ def current_model(released: Column, as_of: Column, months: int = K.MODEL_RECENCY
 # --- display texts -----------------------------------------------------------------
 
 
-def _fixed(x: Column, digits: int) -> Column:
+def fixed_text(x: Column, digits: int) -> Column:
     """Fixed decimals of the double's exact value (1.335 is a little less than that: 1.33), exact ties away from zero.
 
     ``size * scale`` may round onto a tie, so the distance to it is taken from two parts whose products are exact.
@@ -153,7 +153,7 @@ def _fixed(x: Column, digits: int) -> Column:
 
 
 def price_text(price: Column) -> Column:
-    digits = F.when(price % 1 == 0, _fixed(price, 0)).otherwise(_fixed(price, 2))
+    digits = F.when(price % 1 == 0, fixed_text(price, 0)).otherwise(fixed_text(price, 2))
     return (
         F.when(price.isNull(), "Contact sales").when(price == 0, "Free").otherwise(F.concat(F.lit("$"), digits, F.lit("/mo")))
     )
@@ -170,14 +170,14 @@ def catalog_price_text(price: Column) -> Column:
 def price_label(price: Column) -> Column:
     """Chart label: whole dollars bare, otherwise two decimals."""
     return F.when(price.isNull(), "—").otherwise(
-        F.concat(F.lit("$"), F.when(price % 1 == 0, _fixed(price, 0)).otherwise(_fixed(price, 2)))
+        F.concat(F.lit("$"), F.when(price % 1 == 0, fixed_text(price, 0)).otherwise(fixed_text(price, 2)))
     )
 
 
 def token_text(n: Column) -> Column:
     size = F.abs(n)
-    mega = F.concat(F.when(n % 1_000_000 == 0, _fixed(n / 1e6, 0)).otherwise(_fixed(n / 1e6, 2)), F.lit("M"))
-    kilo = F.concat(F.when(n % 1_000 == 0, _fixed(n / 1e3, 0)).otherwise(_fixed(n / 1e3, 1)), F.lit("K"))
+    mega = F.concat(F.when(n % 1_000_000 == 0, fixed_text(n / 1e6, 0)).otherwise(fixed_text(n / 1e6, 2)), F.lit("M"))
+    kilo = F.concat(F.when(n % 1_000 == 0, fixed_text(n / 1e3, 0)).otherwise(fixed_text(n / 1e3, 1)), F.lit("K"))
     return (
         F.when(n.isNull(), "—")
         .when(n == 0, "0")

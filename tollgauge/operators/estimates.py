@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollgauge import constants as K
 from tollgauge.constants import NormalizationConfig
 from tollgauge.functions import capacity as C
-from tollgauge.functions.basics import effective_price, round_digits, weaker
+from tollgauge.functions.basics import effective_price, fixed_text, number_text, round_digits, weaker
 from tollgauge.operators.normalize import TARGETS, best_limit, document_limit, normalize_limits
 from tollgauge.operators.ordering import exact_median, latest
 
@@ -69,7 +69,7 @@ def plan_estimates(
     )
     priced = plans.select("plan_id", effective_price(F.col("monthly_usd"), F.col("annual_usd")).alias("price"))
     rated = with_efficiency(score_quality(scores)).select(
-        "model_id", "wmq", "wmq_confidence", "price_in", "price_out", "cost_per_task", "efficiency",
+        "model_id", "wmq", "wmq_confidence", "agentic", "coding", "speed", "price_in", "price_out", "cost_per_task", "median_cost", "efficiency",
         F.lit(True).alias("scored"),
     )
     base = (
@@ -90,26 +90,35 @@ def plan_estimates(
             "efficiency": mult,
             "value_score": C.value_score(F.col("quality_adjusted_1mo"), F.col("price"), mult),
             "engine_version": F.lit(K.ENGINE_VERSION),
+            "notes": estimate_notes(F.col("best_type")),
         }
     )
     # models per plan: bounded by the catalog, so this window never sees more rows than one plan offers
     by_quality = W.partitionBy("plan_id").orderBy(F.col("wmq").desc_nulls_last(), F.col("ord").asc())
     return est.withColumn("rep_rank", F.row_number().over(by_quality)).drop(
-        "scored", "wmq_confidence", "usage_confidence", "price_in", "price_out"
+        "scored", "wmq_confidence", "usage_confidence", "agentic", "coding", "speed", "price_in", "price_out", "median_cost"
     )
 
 
-def estimate_notes(scores: DataFrame) -> DataFrame:
-    """Notes an estimate of this model carries: quality gaps and missing efficiency data."""
-    neutral = F.when(~F.coalesce(F.col("cost_per_task") > 0, F.lit(False)), F.lit(K.NOTE_NEUTRAL))
-    zero_cost = F.when(C.blended_price(F.col("price_in"), F.col("price_out")) <= 0, F.lit(K.NOTE_ZERO_COST))
-    return scores.withColumn(
-        "notes",
-        F.concat(
-            C.quality_notes(F.col("agentic"), F.col("coding"), F.col("speed")),
-            F.array_compact(F.array(zero_cost, neutral)),
-        ),
+def estimate_notes(limit_type: Column) -> Column:
+    """Notes of one estimate, in order: quality gaps, price of a credit budget, efficiency. Reads the rated score columns."""
+    a, c, s, p_in, p_out, cost, median = (
+        F.col(n) for n in ("agentic", "coding", "speed", "price_in", "price_out", "cost_per_task", "median_cost")
     )
+    blend = C.blended_price(p_in, p_out)
+    quality = F.when(F.col("scored"), C.quality_notes(a, c, s)).otherwise(F.array(F.lit(K.NOTE_NO_SCORE)))
+    priced = F.concat(F.lit(K.NOTE_BLENDED[0]), fixed_text(blend, 2), F.lit(K.NOTE_BLENDED[1]))
+    budget = F.when((limit_type == "credits") & blend.isNotNull(), F.when(blend <= 0, K.NOTE_ZERO_COST).otherwise(priced))
+    head, per_task, against, tail = (F.lit(t) for t in K.NOTE_EFFICIENCY)
+    factor = fixed_text(C.efficiency_multiplier(cost, median), 3)
+    measured = F.concat(head, factor, per_task, number_text(cost), against, number_text(median), tail)
+    efficiency = F.when((cost > 0) & median.isNotNull(), measured).otherwise(K.NOTE_NEUTRAL)
+    return F.concat(quality, F.array_compact(F.array(budget, efficiency)))
+
+
+def plan_notes(estimates: DataFrame) -> DataFrame:
+    """Distinct notes over the estimates of each plan, one row per plan and note."""
+    return estimates.select("plan_id", F.explode("notes").alias("note")).distinct()
 
 
 def best_quality_per_plan(plan_models: DataFrame, scores: DataFrame) -> DataFrame:

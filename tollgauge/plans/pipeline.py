@@ -30,7 +30,7 @@ def all_rankings(
     """
     scores = durable(scores)
     estimates = durable(plan_estimates(plans, plan_models, models, limits, scores, limit_order, cfg))
-    rows = R.plan_model_rows(estimates, plans, providers, models, scores, R.usage_dates(limits, limit_order))
+    rows = R.plan_model_rows(estimates, plans, providers, models, scores, R.usage_dates(limits, limit_order, plans))
     index = R.model_index(models, plans)
     per_model = latest(
         rows.where(F.col("price_band").isin(K.PRICE_BANDS) & F.col("value_score").isNotNull()), ["model_id", "price_band"], R.by_value()

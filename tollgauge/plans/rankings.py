@@ -38,12 +38,12 @@ def model_index(models: DataFrame, plans: DataFrame) -> DataFrame:
     return latest(offering, ["model_id"], [F.col("provider_id").asc()]).select("model_id", "display_name", "provider_id")
 
 
-def usage_dates(limits: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Access date of each plan's first limit that has one."""
+def usage_dates(limits: DataFrame, order: tuple[str, ...], plans: DataFrame) -> DataFrame:
+    """Access date of each plan's first limit that has one, else the date the plan was last verified."""
     dated = limits.where(F.col("accessed_date").isNotNull())
-    return latest(dated, ["plan_id"], [F.col(c).asc() for c in order]).select(
-        "plan_id", F.col("accessed_date").alias("usage_date")
-    )
+    first = latest(dated, ["plan_id"], [F.col(c).asc() for c in order]).select("plan_id", "accessed_date")
+    known = plans.select("plan_id", "last_verified").join(first, "plan_id", "left")
+    return known.select("plan_id", F.coalesce("accessed_date", "last_verified").alias("usage_date"))
 
 
 def plan_model_rows(

