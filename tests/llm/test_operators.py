@@ -223,6 +223,21 @@ def test_surrogates(spark, odd):
     assert surrogates.replace_entities(odd.limit(0)).count() == 0
 
 
+def test_names_are_replaced_in_their_whole_document(spark):
+    rows = [
+        (1, "Mr. John Smith called. John said SMITH's car is old, Smith left; a smith and Johnson stay. Ms. Anna Smith-Jones's dog: Jones. john.smith@a.org"),
+        (2, "John Smith has no title here."),
+        (3, "John waited. Then г-н Петров came; ПЕТРОВ saw Mr. O'Brien, O'Brien’s hat and Mr. Strauss' hat, Strauss"),
+    ]
+    one, two, three = (r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect())
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. (\w+) said (\w+)'s car is old, (\w+) left; a smith and Johnson stay\. Ms\. (\w+) (\w+)-(\w+)'s dog: (\w+)\. \S+@\w\.org", one)
+    given, last = m[1], m[2]
+    assert m[3] == given != "John" and m[4] == last.upper() != "SMITH" and m[5] == m[7] == last and m[8] == m[9] != "Jones"
+    assert two == rows[1][1]
+    m = re.fullmatch(r"John waited\. Then г-н (\w+) came; (\w+) saw Mr\. (\w+), (\w+)’s hat and Mr\. (\w+)' hat, (\w+)", three)
+    assert m[2] == m[1].upper() != "ПЕТРОВ" and m[3] == m[4] and m[5] == m[6] != "Strauss"
+
+
 def test_taken_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, canon, attempt: F.format_string("%d", F.pmod(F.xxhash64("canon", "attempt"), F.lit(12))))
     monkeypatch.setattr(surrogates, "ROUNDS", 400)

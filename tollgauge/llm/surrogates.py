@@ -1,7 +1,8 @@
 """PII: detected entities get keyed surrogates of the same type and form.
 
 Detection is one regular expression over the whole text: e-mail and IPv4 addresses, IBANs, secrets, card and phone numbers, social
-security numbers, and names after a title. Mentions of one entity share a canonical form (digits of a number, lower case of an address, a
+security numbers, and names after a title. A document's name words found so are then looked for in the rest of that document, as whole words
+with a capital. Mentions of one entity share a canonical form (digits of a number, lower case of an address, a
 name's token), so they stay one entity however they are written. An entity's surrogate is drawn from a keyed hash: digits for digits, letters for
 letters in the same case, separators as they are; a card keeps its check sum's remainder, a phone its country code, an address its top-level
 domain, a given name the gender that the title tells, a name its script (Latin, Cyrillic, Greek; others get Latin).
@@ -42,14 +43,17 @@ PATTERNS = (
     rf"(?<![\p{{L}}]){TITLE}\.?[ ]{NAME}(?:[ ]{NAME})?",
 )
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
+TITLED = rf"(?<![\p{{L}}]){TITLE}\.?[ ]\p{{Lu}}"
 #: Every pattern needs one of these, so most texts are passed over quickly.
-HINT = rf"[0-9@]|(?<![\p{{L}}]){TITLE}\.?[ ]\p{{Lu}}|AKIA|gh[pousr]_|sk-|xox|(?:token|secret|key|password|passwd|pwd)\s{{0,2}}[=:]"
+HINT = rf"[0-9@]|{TITLED}|AKIA|gh[pousr]_|sk-|xox|(?:token|secret|key|password|passwd|pwd)\s{{0,2}}[=:]"
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 SYLLABLES = {
     "latin": "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(),
     "greek": "βα βε βι βο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το πα πε πι πο".split(),
 }
+#: A name's words: parts of a double name are words of their own, and a possessive ending is none.
+CUTS = r"(?<=-)|(?=-)|(?=['’][sS]?$)"
 ENDINGS = {"latin": {"m": "n", "f": "na", "n": "l", "s": "r"}, "cyrillic": {"m": "н", "f": "на", "n": "л", "s": "р"}, "greek": {"m": "ς", "f": "να", "n": "λ", "s": "ρ"}}
 
 
@@ -72,10 +76,11 @@ def parts_of(hit: Column) -> Column:
     title = F.regexp_replace(F.get(token, 0), r"\.$", "")
     gender = F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").otherwise("n")
     given, last = F.get(token, 1), F.element_at(token, -1)
-    name = lambda role, t: part(F.concat(F.lit("name:"), script(t), F.lit(":"), role), F.lower(t), t)
     keep = lambda text: part(none, none, text)
+    word = lambda role, t: F.when(t.rlike(r"^\p{L}"), part(F.concat(F.lit("name:"), script(t), F.lit(":"), role), F.lower(t), t)).otherwise(keep(t))
+    name = lambda role, t: F.transform(F.split(t, CUTS), lambda x: word(role, x))
     space = keep(F.lit(" "))
-    person = F.when(F.size(token) == 3, F.array(keep(F.get(token, 0)), space, name(gender, given), space, name(F.lit("s"), last))).otherwise(F.array(keep(F.get(token, 0)), space, name(F.lit("s"), last)))
+    person = F.when(F.size(token) == 3, F.concat(F.array(keep(F.get(token, 0)), space), name(gender, given), F.array(space), name(F.lit("s"), last))).otherwise(F.concat(F.array(keep(F.get(token, 0)), space), name(F.lit("s"), last)))
     canon = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(hit, "[^0-9]", "")).when(kind == "iban", F.replace(hit, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(hit)).otherwise(hit)
     # a plus tells where a country code stands, so it is part of the type
     named = F.when((kind == "phone") & hit.startswith("+"), "phone+").otherwise(kind)
@@ -143,7 +148,7 @@ def written(kind: Column, form: Column, own: Column) -> Column:
     seen = lambda c, j: F.length(F.regexp_replace(F.substr(form, F.lit(1), j + 1), "[^0-9A-Z]", ""))
     dealt = F.array_join(F.transform(F.split(form, ""), lambda c, j: F.when(c.rlike("[0-9A-Z]"), F.get(digits, seen(c, j) - 1)).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(form, ""), lambda c, j: F.when(c.rlike(r"\p{Lu}"), F.upper(F.get(digits, j))).otherwise(F.get(digits, j))), "")
-    name = F.when(form == F.upper(form), F.upper(own)).otherwise(F.initcap(own))
+    name = F.when(form == F.upper(form), F.upper(own)).when(form == F.lower(form), own).otherwise(F.initcap(own))
     return F.when(kind.isin("card", "phone", "phone+", "ssn", "iban"), dealt).when(kind == "email", cased).when(kind.startswith("name:"), name).otherwise(own)
 
 
@@ -165,22 +170,51 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no free surrogates after {ROUNDS} draws")
 
 
+def name_words(hits: Column) -> Column:
+    """Pattern of the name words among a document's hits, as whole words with a capital; null where there are none."""
+    forms = F.flatten(F.transform(F.filter(hits, lambda h: kind_of(h) == "person"), lambda h: F.filter(parts_of(h), lambda p: p["kind"].isNotNull() & (F.length(p["form"]) > 1))["form"]))
+    return let(F.array_distinct(forms), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(x, "|"), F.lit(r")(?!\p{L})"))))
+
+
+def _hit(text: Column, again: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(again).alias("again"))
+
+
+def hits_of(text: Column) -> Column:
+    """A text's hits (text, again) in order; ``again`` marks name words found outside the patterns."""
+    plain = lambda hits: F.transform(hits, lambda h: _hit(h, False))
+    none = F.array().cast("array<struct<text:string,again:boolean>>")
+    inner = lambda hits, words: F.flatten(F.zip_with(F.split(text, PATTERN, -1), hits, lambda g, h: F.concat(F.transform(F.regexp_extract_all(g, words, F.lit(0)), lambda x: _hit(x, True)), F.when(h.isNull(), none).otherwise(F.array(_hit(h, False))))))
+    named = lambda hits: let(name_words(hits), lambda words: F.when(words.isNull(), plain(hits)).otherwise(inner(hits, words)))
+    return let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda hits: F.when(F.exists(hits, lambda h: h.rlike(TITLED)), named(hits)).otherwise(plain(hits)))
+
+
+def gaps_of(text: Column) -> Column:
+    """What stands around the hits of a text."""
+    gaps = F.split(text, PATTERN, -1)
+    inner = let(name_words(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), lambda words: F.when(words.isNull(), gaps).otherwise(F.flatten(F.transform(gaps, lambda g: F.split(g, words, -1)))))
+    return F.when(text.rlike(TITLED), inner).otherwise(gaps)
+
+
 def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """``docs`` with every detected entity in ``text`` replaced, and n_entities (mentions replaced)."""
     names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    hits = F.when(has, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     own = row_key("doc_id", "text")
-    found = stored(docs.where(has).select(own.alias("k"), hits.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["k"]))
-    mention = found.select("k", F.posexplode("hits").alias("pos", "hit"))
-    part = stored(mention.select("k", "pos", F.posexplode(parts_of(F.col("hit"))).alias("part", "p")).select("k", "pos", "part", "p.*"))
+    found = stored(docs.where(has).select(own.alias("k"), hits_of(F.col("text")).alias("hits")).where(F.size("hits") > 0).dropDuplicates(["k"]))
+    mention = found.select("k", F.posexplode("hits").alias("pos", "hit")).select("k", "pos", "hit.*")
+    part = stored(mention.where("NOT again").select("k", "pos", F.posexplode(parts_of(F.col("text"))).alias("part", "p")).select("k", "pos", "part", "p.*"))
     entities = draw(stored(part.where("kind IS NOT NULL").select("kind", "canon").distinct()), key)
+    # a name word stands for what it is where its document has it first
+    called = part.where("kind LIKE 'name:%'").groupBy("k", "canon").agg(F.min(F.struct("pos", "part", "kind")).alias("first")).select("k", "canon", "first.kind")
+    again = mention.where("again").select("k", "pos", F.lit(0).alias("part"), F.lower("text").alias("canon"), F.col("text").alias("form")).join(called, ["k", "canon"], "left")
+    part = part.unionByName(again)
     fixed = part.where("kind IS NULL").select("k", "pos", "part", F.col("form").alias("text"))
     named = part.where("kind IS NOT NULL").join(entities, ["kind", "canon"]).select("k", "pos", "part", written(F.col("kind"), F.col("form"), F.col("own")).alias("text"))
     whole = named.unionByName(fixed).groupBy("k", "pos").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts")).select("k", "pos", F.array_join("parts.text", "").alias("new"))
     lists = whole.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news")).select(F.col("k").alias("k_"), F.col("news.new").alias("news_"))
     joined = docs.select(*names).where(has).join(lists, own == F.col("k_"), "left")
-    text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), "news_", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    text = F.array_join(F.zip_with(gaps_of(F.col("text")), "news_", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     changed = joined.withColumn("n_entities", F.coalesce(F.size("news_"), F.lit(0))).withColumn("text", F.when(F.col("news_").isNull(), F.col("text")).otherwise(text))
     return changed.select(*names, "n_entities").unionByName(docs.select(*names).where(~has).withColumn("n_entities", F.lit(0)))
 
