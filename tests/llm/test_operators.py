@@ -246,6 +246,28 @@ def test_taken_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(own) == 5 and not own & {str(i) for i in range(5)}
 
 
+def test_crowded_forms_are_all_placed(spark):
+    crowded = [("phone+", f"20{i:03d}") for i in range(600)] + [("phone+", f"33{i:02d}") for i in range(0, 100, 3)]  # over half of the values real; a third
+    full = [("secret", f"--------{i}") for i in range(10)] + [("secret", "=========="), ("email", "a@b.org"), ("email", "b@b.org")]
+    cards = [("card", c) for c in ("4111111111111111", "4222222222222")]
+    rows = crowded + full + cards
+    got = {(r.kind, r.canon): r.own for r in surrogates.draw(spark.createDataFrame(rows, "kind string, canon string"), "x").collect()}
+    assert set(got) == set(rows) and len({(k, own) for (k, _), own in got.items()}) == len(rows)
+    assert [c for (_, c), own in got.items() if own == c] == ["=========="]
+    egypt = {own for (_, c), own in got.items() if c[:2] == "20"}
+    assert all(re.fullmatch(r"20\d{3}", own) for own in egypt) and len(egypt - {c for _, c in crowded}) == 400
+    assert not {own for (_, c), own in got.items() if c[:2] == "33"} & {c for _, c in crowded}
+    assert {own for (k, c), own in got.items() if c.startswith("---")} == {c for _, c in full[:10]}
+
+
+def test_name_surrogates_grow(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: v[:2] for k, v in surrogates.SYLLABLES.items()})
+    monkeypatch.setattr(surrogates, "ROUNDS", 1)
+    rows = [("name:latin:m", f"name{i}") for i in range(50)]  # 2 syllables: 8 names of three
+    got = {r.canon: r.own for r in surrogates.draw(spark.createDataFrame(rows, "kind string, canon string"), "x").collect()}
+    assert len(got) == 50 and len(set(got.values())) == 50 and not set(got) & set(got.values())
+
+
 def test_archives_round_trip(spark):
     big = "é" * 700
     rows = [(1, None, None), (2, "u\r\nx", big), (3, "http://a", big), (3, "http://a", big), (None, None, big), (None, None, "z" * 2000), (None, None, "z" * 2000), (5, "v", "a\r\n\r\nb"), (6, "", "a\r\n\r\nb")]

@@ -11,7 +11,10 @@ Distinct entities are gathered over all texts. A draw that equals any real entit
 surrogates are distinct and never name someone who is in the data. Only mentions are shuffled and joined, and the texts that have some.
 
 Only DataFrame functions run here. Defined cases: null and empty texts stay as they are; repeated rows get equal results; other columns are
-carried along, ``text`` is replaced; a type whose surrogates run out after ``ROUNDS`` draws raises an error.
+carried along, ``text`` is replaced. Names get one more syllable every ``ROUNDS`` draws, so their surrogates never run out. Where a form
+(separators, kept digits, which places are digits or letters) has under four values per real one, no draws are made: the form's unreal values
+are dealt in keyed order, and when they run out, the real values of other entities, so everyone is placed and only a form with a single value
+stays as it is.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tollgauge.llm.outliers import let
 from tollgauge.llm.tables import row_key, stored
+from tollgauge.operators.ordering import global_rank
 
-ROUNDS = 40
+#: Draws of a name before its surrogates get one more syllable.
+ROUNDS = 4
 # Titles that tell a gender or none, and patterns.
 MALE = "Mr|Herr|Herrn|Monsieur|Sr|Señor|господин|г-н|κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Sra|Srta|Señora|госпожа|г-жа|κυρία"
@@ -134,9 +139,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(form, F.lit(3), F.length(form)))
         out = F.when(kind == "card", card).when(kind == "phone+", phone).when(kind == "ip", ip).when(kind == "email", email).when(kind == "iban", iban)
         for script, syllables in SYLLABLES.items():
-            part = lambda j: F.element_at(F.array(*map(F.lit, syllables)), _at(s, F.lit(j), len(syllables)) + 1)  # noqa: B023, E731
+            part = lambda j: F.element_at(F.array(*map(F.lit, syllables)), _at(s, j, len(syllables)) + 1)  # noqa: B023, E731
             for role, end in ENDINGS[script].items():
-                out = out.when(kind == f"name:{script}:{role}", F.concat(*[part(j) for j in range(4 if role == "s" else 3)], F.lit(end)))
+                last = F.floor(attempt / ROUNDS).cast("int") + (3 if role == "s" else 2)
+                out = out.when(kind == f"name:{script}:{role}", F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), part), ""), F.lit(end)))
         return out.otherwise(form)
 
     return let(stream, build)
@@ -152,11 +158,63 @@ def written(kind: Column, form: Column, own: Column) -> Column:
     return F.when(kind.isin("card", "phone", "phone+", "ssn", "iban"), dealt).when(kind == "email", cased).when(kind.startswith("name:"), name).otherwise(own)
 
 
+FORM = ["kind", "head", "mask", "tail"]
+
+
+def forms_of(entities: DataFrame) -> DataFrame:
+    """``entities`` with their form and how many values it has: ``head`` and ``tail`` are kept, ``mask`` has 0, a and A for what is drawn. A card's tail is its check sum."""
+    kind, canon = F.col("kind"), F.col("canon")
+    top = F.regexp_extract(canon, r"(\.\p{L}{2,})$", 1)
+    n_head = F.when(kind == "iban", 2).when(kind == "phone+", F.when(canon.rlike("^[17]"), 1).otherwise(2)).otherwise(0)
+    n_tail = F.when(kind == "email", F.length(top)).when(kind == "card", 1).otherwise(0)
+    body = F.substr(canon, n_head + 1, F.length(canon) - n_head - n_tail)
+    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]", "0"), r"\p{Lu}", "A"), r"(?!A)\p{L}", "a")
+    tail = F.when(kind == "email", top).when(kind == "card", _check_sum(canon).cast("string")).otherwise("")
+    count = lambda c: F.length(F.regexp_replace("mask", f"[^{c}]", ""))
+    # addresses and long hexadecimal strings have more values than any input, names grow
+    drawn = kind.isin("card", "phone", "phone+", "ssn", "iban", "email") | (kind == "secret") & ~canon.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
+    return entities.where(drawn).select("kind", "canon", F.substr(canon, F.lit(1), n_head).alias("head"), mask.alias("mask"), tail.alias("tail")).withColumn("values", F.pow(F.lit(10.0), count("0")) * F.pow(F.lit(26.0), count("aA")))
+
+
+def _value(i: Column) -> Column:
+    """Value number ``i`` of a form."""
+    digit = lambda rest, base: F.pmod(rest, F.lit(base)).cast("int")
+    step = lambda base, pick: lambda s, c: F.struct(F.floor(s["rest"] / base).cast("long").alias("rest"), F.concat(pick(s, c), s["out"]).alias("out"))
+    ten, letters = step(10, lambda s, c: _pick(DIGITS, digit(s["rest"], 10))), step(26, lambda s, c: _pick(LETTERS, digit(s["rest"], 26)))
+    upper, same = step(26, lambda s, c: _pick(LETTERS.upper(), digit(s["rest"], 26))), step(1, lambda s, c: c)
+    by = lambda s, c: F.when(c == "0", ten(s, c)).when(c == "a", letters(s, c)).when(c == "A", upper(s, c)).otherwise(same(s, c))
+    body = F.aggregate(F.reverse(F.split("mask", "")), F.struct(i.cast("long").alias("rest"), F.lit("").alias("out")), by, lambda s: s["out"])
+    whole = F.concat("head", body)
+    card = F.concat(whole, F.pmod(F.col("tail").try_cast("int") - _check_sum(F.concat(whole, F.lit("0"))), F.lit(10)).cast("string"))
+    return F.when(F.col("kind") == "card", card).otherwise(F.concat(whole, "tail"))
+
+
+def deal(narrow: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, own) for the entities of narrow forms (their form, values and n real values): keyed order of unreal values, then of real ones."""
+    order = lambda c: F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", c), 256)
+    chunk = 1000
+    forms = narrow.select(*FORM, F.col("values").cast("long").alias("values"), "n").distinct()
+    each = forms.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("values") - 1) / chunk))))
+    each = each.withColumn("i", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("values")) - 1)))
+    real = narrow.select("kind", F.col("canon").alias("own"), F.lit(1).alias("real"))
+    values = each.select(*FORM, "n", _value(F.col("i")).alias("own")).join(real, ["kind", "own"], "left").withColumn("real", F.coalesce("real", F.lit(0)))
+    ranked = stored(global_rank(values.withColumn("o", order("own")), [*map(F.col, FORM), F.col("real"), F.col("o"), F.col("own")]))
+    first = ranked.groupBy(*FORM).agg(F.min("rank").alias("first"), F.count_if(F.col("real") == 0).alias("free"))
+    placed = stored(ranked.join(first, FORM).withColumn("at", F.col("rank") - F.col("first")))
+    # an entity's number is that of its own value among the real ones, so number i never meets itself: real values follow the unreal ones
+    number = F.col("at") - F.col("free")
+    entity = placed.where("real = 1").select(*FORM, F.col("own").alias("canon"), number.alias("i"), F.when(F.col("free") > 0, number).otherwise((number + 1) % F.col("n")).alias("at"))
+    return entity.join(placed.select(*FORM, "at", "own"), [*FORM, "at"]).select("kind", "canon", "own")
+
+
 def draw(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, own) for distinct entities (kind, canon): keyed draws, repeated where they are taken."""
+    """(kind, canon, own) for distinct entities (kind, canon): keyed draws, repeated where they are taken; narrow forms are dealt."""
     real = entities.select("kind", F.col("canon").alias("own"))
-    waiting, done = entities.withColumn("attempt", F.lit(0)), None
-    for _ in range(ROUNDS):
+    form = forms_of(entities)
+    sizes = stored(form.groupBy(*FORM, "values").agg(F.count("*").alias("n")).where(F.col("values") < F.col("n") * 4).drop("values"))
+    done = None if sizes.isEmpty() else stored(deal(stored(form.join(sizes, FORM)), key))
+    waiting = (entities if done is None else entities.join(done.select("kind", "canon"), ["kind", "canon"], "left_anti")).withColumn("attempt", F.lit(0))
+    while True:
         drawn = waiting.withColumn("own", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         taken = real if done is None else real.unionByName(done.select("kind", "own"))
         free = drawn.join(taken.withColumn("taken", F.lit(True)).distinct(), ["kind", "own"], "left")
@@ -167,7 +225,6 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
         waiting = judged.where("NOT good").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         if waiting.isEmpty():
             return done
-    raise ValueError(f"no free surrogates after {ROUNDS} draws")
 
 
 def name_words(hits: Column) -> Column:
