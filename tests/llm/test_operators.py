@@ -246,6 +246,17 @@ def test_taken_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(own) == 5 and not own & {str(i) for i in range(5)}
 
 
+def test_cards_in_any_long_groups(spark):
+    cards = ["6304-0000-0000-0000-123", "4222 222 222 222", "41111111 11111111", "6304 0000 0000 0000 123", "4111 1111 1111 1111", "4111111111111111", "12 4222 222 222 222"]
+    runs = ["12 15 18 22 31 45 60 71 88", "978-3-16-148410-0", "1234 5 6 7 8 9 10 11 12", "2024-01-02 2024-01-03", "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    rows = spark.createDataFrame([(i, f"so {x}, yes") for i, x in enumerate(cards + runs)], "doc_id int, text string")
+    got = [r.text for r in surrogates.replace_entities(rows).orderBy("doc_id").collect()]
+    for was, now in zip(cards, got):
+        assert re.sub(r"\d", "0", now) == re.sub(r"\d", "0", f"so {was}, yes")
+        assert not set(re.findall(r"\d{3,}", was)[-1:]) & set(re.findall(r"\d{3,}", now)[-1:])
+    assert got[len(cards) :] == [f"so {x}, yes" for x in runs]
+
+
 def test_crowded_forms_are_all_placed(spark):
     crowded = [("phone+", f"20{i:03d}") for i in range(600)] + [("phone+", f"33{i:02d}") for i in range(0, 100, 3)]  # over half of the values real; a third
     full = [("secret", f"--------{i}") for i in range(10)] + [("secret", "=========="), ("email", "a@b.org"), ("email", "b@b.org")]

@@ -40,6 +40,8 @@ PATTERNS = (
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b",
     r"(?<=\b(?:token|secret|key|password|passwd|pwd)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.=-]{8,}",
+    # 13 to 19 digits in any groups of three and more, four and more in the first, any in the last; then the usual groups before more numbers
+    r"(?<![\w+.-])\d{4}(?:(?:[ -](?=\d{3}|\d{1,2}(?![\w-]| \d)))?\d){9,15}(?![\w-])",
     r"(?<![\w+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-])",
     r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",
     r"(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)",
