@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tollgauge.llm import archives, jaccard, language, mixing, neighbours, outliers, pieces, quality, substrings, surrogates
+from tollgauge.llm import archives, features, jaccard, language, mixing, neighbours, outliers, pieces, quality, substrings, surrogates
 from tollgauge.llm.queries import ORACLES, QUERIES
 from tollgauge.llm.tables import shared_folder, table
 
@@ -112,6 +112,13 @@ def test_languages_on_held_out_rows(spark, odd):
     assert {r.lang_pred for r in language.op3_language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_samples_are_bounded_for_copies(spark):
+    copies = spark.range(2000).select("id", F.lit("a b c").alias("text"), F.lit("en").alias("tag"))
+    assert features.sampled(copies, "language", 1.0).count() == 1
+    own = spark.range(2000).select(F.col("id").cast("string").alias("text"), F.lit("en").alias("tag"))
+    assert 140 < features.sampled(own, "language", 0.1).count() < 260
+
+
 def test_codewords_differ():
     for k in (2, 4, 7, 12):
         c = language.codewords(k)

@@ -128,6 +128,11 @@ def hash_share(name: str, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(F.lit(name), "text"), F.lit(1_000_003)) < F.lit(1_000_003) * share
 
 
+def sampled(rows: DataFrame, name: str, share: Column | float) -> DataFrame:
+    """``hash_share`` of ``rows`` (text, tag), where copies, which share a hash, count once: no group of copies can fill the sample."""
+    return rows.where(hash_share(name, share)).select("text", "tag").distinct()
+
+
 def sparse_rows(frame: DataFrame, features: Featurizer) -> DataFrame:
     """(tag, at array<int>, value array<float>) per row of ``frame`` (text, tag)."""
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgauge.llm.features import LANG_SIZE, Adam, Sample, hash_share, language_features, rows_of, sparse_rows
+from tollgauge.llm.features import LANG_SIZE, Adam, Sample, language_features, rows_of, sampled, sparse_rows
 
 UNKNOWN = "und"
 WIDTH = 3 * LANG_SIZE
@@ -63,7 +63,7 @@ def fit_languages(docs: DataFrame, use: Column | None = None, per_language: int
     code = codewords(len(names))
     if len(names) < 2:
         return LanguageModel(names, code, np.zeros((WIDTH + 1, 1), np.float32), np.ones(1))
-    taken = known.where(hash_share("language", share[F.col("lang")])).select("text", F.col("lang").alias("tag"))
+    taken = sampled(known.select("text", F.col("lang").alias("tag")), "language", share[F.col("tag")])
     sample = Sample(sparse_rows(taken, language_features), WIDTH)
     target = code[[names.index(t) for t in sample.tag]]
     n, bits = len(target), code.shape[1]

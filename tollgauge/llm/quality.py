@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgauge.llm.features import SHAPE_SIZE, STEPS, WORD_SIZE, Adam, Sample, hash_share, quality_features, rows_of, sparse_rows
+from tollgauge.llm.features import SHAPE_SIZE, STEPS, WORD_SIZE, Adam, Sample, quality_features, rows_of, sampled, sparse_rows
 from tollgauge.llm.language import fold
 
 SHARES = 14
@@ -84,7 +84,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, positives: int
     # the sampled ids, not the texts, meet the labels: texts are read again by key for the bounded sample only
     some = good.where(F.pmod(F.xxhash64(F.lit("good"), "doc_id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, positives / max(n_good, 1)))
     tagged = texts.join(some, "doc_id", "left_semi").select("text", F.lit(1).alias("tag"))
-    rest = texts.where(use | F.col("doc_id").isNull()).where(hash_share("unlabelled", min(1.0, unlabelled / max(n_docs, 1)))).select("text", F.lit(0).alias("tag"))
+    rest = sampled(texts.where(use | F.col("doc_id").isNull()).withColumn("tag", F.lit(0)), "unlabelled", min(1.0, unlabelled / max(n_docs, 1)))
     p, u = Sample(sparse_rows(tagged, quality_features), WIDTH), Sample(sparse_rows(rest, quality_features), WIDTH)
     if not p.rows or not u.rows:
         return QualityModel(np.zeros(WIDTH + 1, np.float32), 0.5)
