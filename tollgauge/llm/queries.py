@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tollgauge.llm.archives import op8_warc_dictionary
 from tollgauge.llm.jaccard import op5_ngram_jaccard
 from tollgauge.llm.language import op3_language_id
+from tollgauge.llm.line_runs import op11_line_runs
 from tollgauge.llm.mixing import op4_fair_mix
 from tollgauge.llm.neighbours import op10_collision_neighbours
 from tollgauge.llm.outliers import op6_robust_outliers
@@ -64,6 +65,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return op10_collision_neighbours(table(spark, folder, "embeddings"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return op11_line_runs(table(spark, folder, "documents"))
+
+
 OP8_SQL = """
 WITH page AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
 first AS (SELECT html, max(page_id) AS first FROM page WHERE size >= 1000 GROUP BY html HAVING count(*) > 1)
@@ -85,6 +90,16 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(ks) AS BIG
 FROM kept
 """
 
+OP11_SQL = """
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+          FROM docs, unnest(range(1, len(ls) + 1)) AS t(i)),
+often AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+stay AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM lines ANTI JOIN often USING (k) GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN stay USING (r)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_pu_quality": op1,
     "op2_sentencepiece": op2,
@@ -96,5 +111,6 @@ QUERIES: dict[str, Query] = {
     "op8_warc_dictionary": op8,
     "op9_substring_dedup": op9,
     "op10_collision_neighbours": op10,
+    "op11_line_runs": op11,
 }
-ORACLES: dict[str, str] = {"op8_warc_dictionary": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op8_warc_dictionary": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_line_runs": OP11_SQL}
