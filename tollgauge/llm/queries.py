@@ -15,9 +15,11 @@ from tollgauge.llm.neighbours import op10_collision_neighbours
 from tollgauge.llm.outliers import op6_robust_outliers
 from tollgauge.llm.pieces import op2_sentencepiece
 from tollgauge.llm.quality import op1_pu_quality
+from tollgauge.llm.spelling import op13_spelling_trie
 from tollgauge.llm.substrings import op9_substring_dedup
 from tollgauge.llm.surrogates import op7_pii_surrogates
 from tollgauge.llm.tables import table
+from tollgauge.llm.whitening import op12_block_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +71,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return op11_line_runs(table(spark, folder, "documents"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_block_whitening(table(spark, folder, "embeddings"))
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return op13_spelling_trie(table(spark, folder, "documents"))
+
+
 OP8_SQL = """
 WITH page AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
 first AS (SELECT html, max(page_id) AS first FROM page WHERE size >= 1000 GROUP BY html HAVING count(*) > 1)
@@ -112,5 +122,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9,
     "op10_collision_neighbours": op10,
     "op11_line_runs": op11,
+    "op12_block_whitening": op12,
+    "op13_spelling_trie": op13,
 }
 ORACLES: dict[str, str] = {"op8_warc_dictionary": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_line_runs": OP11_SQL}
