@@ -16,6 +16,7 @@ def build_session(master: str | None = None, app: str = "tollgauge", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
