@@ -1,6 +1,7 @@
 import copy
 import datetime as dt
 import json
+import threading
 
 import pytest
 from pyspark.sql import Window as W
@@ -181,13 +182,53 @@ def test_publish(spark, folder, tmp_path):
     root = str(tmp_path / "api")
     for _ in range(2):
         TB.publish(docs, root, "2026-06-23")
-    plans = spark.read.json(f"{root}/plans")
-    assert rows(plans, "plan_id", "effective_monthly_usd") == [("acme-pro", 16.0)]
+    found = TB.published(spark, root)
+    assert rows(found["plans"], "plan_id", "effective_monthly_usd") == [("acme-pro", 16.0)]
     for name in ("plans", "models", "methodology"):
-        assert TB.shape_problems(spark.read.json(f"{root}/{name}"), name) == []
+        assert TB.shape_problems(found[name], name) == []
     assert TB.shape_problems(spark.range(1), "plans") == ["plan_id", "plan_name", "provider_id", "provider_name"]
 
 
+def test_published_versions_switch_at_once(spark, tmp_path):
+    root = str(tmp_path / "api")
+    with pytest.raises(TB.MissingTable):
+        TB.published(spark, root)
+    frame = lambda n: {"a": spark.range(n), "b": spark.range(n, 2 * n)}
+    first = TB.commit_version(spark, root, frame(2))
+    opened = TB.published(spark, root)
+    tables = frame(3)
+    broken = {**tables, "b": spark.range(3).select(F.raise_error(F.lit("lost")).alias("id"))}
+    with pytest.raises(Exception, match="lost"):
+        TB.commit_version(spark, root, broken)
+    assert TB.manifest(spark, root)["version"] == first and TB.published(spark, root)["a"].count() == 2
+    second = TB.commit_version(spark, root, tables)
+    assert {k: d.count() for k, d in TB.published(spark, root).items()} == {"a": 3, "b": 3}
+    # the earlier version is still whole for whoever opened it, and the failed one is gone
+    assert {k: d.count() for k, d in opened.items()} == {"a": 2, "b": 2}
+    assert {p.name for p in (tmp_path / "api" / "versions").iterdir()} == {first, second}
+    TB.commit_version(spark, root, frame(1))
+    assert first not in {p.name for p in (tmp_path / "api" / "versions").iterdir()}
+
+
+def test_readers_during_a_publish_see_one_version(spark, tmp_path):
+    """A reader thread polls while versions are published: both tables always come from one of them."""
+    root, stop, seen = str(tmp_path / "api"), threading.Event(), []
+    TB.commit_version(spark, root, {"a": spark.range(1), "b": spark.range(1)}, keep=9)
+
+    def read():
+        while not stop.is_set():
+            found = TB.published(spark, root)
+            seen.append((found["a"].count(), found["b"].count()))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in (2, 3, 4):
+        TB.commit_version(spark, root, {"a": spark.range(n), "b": spark.range(n)}, keep=9)
+    stop.set()
+    reader.join()
+    assert seen and all(a == b for a, b in seen)
+
+
 def test_publish_estimates(spark, tmp_path):
     est = spark.createDataFrame([(1, 1, 5.0), (1, 2, None)], "plan_id int, model_id int, value_score double")
     out = TB.publish_estimates(est, spark.range(3), str(tmp_path / "e")).collect()[0]

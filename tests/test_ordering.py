@@ -24,7 +24,7 @@ def skewed(spark):
 
 def test_previous_value_matches_plain_lag(skewed):
     df, data = skewed
-    got = {r.id: r.prev_h for r in O.previous_value(df, ["k"], F.date_trunc("hour", "ts"), ["ts", "id"], ["h"]).collect()}
+    got = {r.id: r.prev_h for r in O.previous_value(df, ["k"], ["ts", "id"], ["h"]).collect()}
     last, want = {}, {}
     for k, ts, i, h, _ in sorted(data, key=lambda r: (r[0], r[1], r[2])):
         want[i] = last.get(k)
@@ -34,7 +34,7 @@ def test_previous_value_matches_plain_lag(skewed):
 
 def test_previous_value_null_is_not_missing(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1, None), (1, dt.date(2024, 3, 1), 2, "x")], "k int, d date, id int, v string")
-    out = O.previous_value(df, ["k"], F.trunc("d", "month"), ["d", "id"], ["v"]).orderBy("id").collect()
+    out = O.previous_value(df, ["k"], ["d", "id"], ["v"]).orderBy("id").collect()
     assert [(r.prev_v, r.has_previous) for r in out] == [(None, False), (None, True)]
 
 
@@ -49,6 +49,55 @@ def test_global_rank_and_input_order(skewed, spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("per", [1, 3, 8])
+def test_ranges_split_one_value_and_keep_the_order(spark, monkeypatch, per):
+    """A value that fills most of the table, nulls and both directions, over many ranges."""
+    monkeypatch.setattr(O, "RANGES", 64)
+    monkeypatch.setattr(O, "PER_RANGE", per)
+    rng = random.Random(3)
+    data = [(rng.choice([None, 1.0, 1.0, 1.0, 2.0]), rng.choice(["a", "b", None]), i) for i in range(500)]
+    df = spark.createDataFrame(data, "v double, s string, id int")
+    for order, key in (
+        ([F.col("v").desc(), F.col("s").asc(), F.col("id")], lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or "", r[2])),
+        ([F.col("s").asc_nulls_last(), F.col("v").desc_nulls_first(), F.col("id").desc()], lambda r: (r[1] is None, r[1] or "", r[0] is not None, -(r[0] or 0), -r[2])),
+    ):
+        ranked = O.global_rank(df, order)
+        assert [r.id for r in ranked.orderBy("rank").collect()] == [r[2] for r in sorted(data, key=key)]
+        dealt = O.with_range(df, order, "p").groupBy("p").count().collect()
+        assert len(dealt) > 20 and max(r["count"] for r in dealt) < 100
+    with pytest.raises(ValueError, match="named columns"):
+        O.with_range(df, [F.col("v") + 1])
+
+
+def test_group_rank_with_a_hot_key(skewed, spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGES", 32)
+    df, data = skewed
+    got = {r.id: r.place for r in O.group_rank(df, ["k"], [F.col("v").desc(), F.col("id")], "place").collect()}
+    want, seen = {}, {}
+    for k, _, i, _, v in sorted(data, key=lambda r: (r[0], -r[4], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert got == want
+    odd = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k int, id int")
+    assert {r.id: r["rank"] for r in O.group_rank(odd, ["k"], [F.col("id").desc()]).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_one_moment_of_one_key_is_spread(spark):
+    df = spark.range(6000).select(F.lit("p").alias("k"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"), "id", (F.col("id") % 7).cast("string").alias("h"))
+    got = O.previous_value(df, ["k"], ["ts", "id"], ["h"]).where("id > 0 AND prev_h != CAST((id - 1) % 7 AS string) OR has_previous != (id > 0)")
+    assert got.count() == 0
+    sizes = [r["count"] for r in O.with_range(df, [F.col("k"), F.col("ts"), F.col("id")], "p").groupBy("p").count().collect()]
+    assert len(sizes) > 300 and max(sizes) < 120
+
+
+def test_plans_are_built_without_jobs(skewed, spark):
+    df, _ = skewed
+    spark.sparkContext.setJobGroup("building", "no job belongs here")
+    for built in (O.global_rank(df, [F.col("v").desc(), F.col("id")]), O.exact_median(df, "v"), O.percentile_rank(df, "v", "p"), O.previous_value(df, ["k"], ["ts", "id"], ["h"])):
+        built.explain(mode="simple")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
 def test_exact_median(skewed, spark):
     df, data = skewed
     assert O.exact_median(df, "v").collect()[0].median == statistics.median(r[4] for r in data)

@@ -105,6 +105,15 @@ def free_tier_label(text: Column) -> Column:
     return F.when(text.rlike(rf"(?i){WORD_START}free{WORD_END}"), "Free").when(text.rlike(r"\$0"), "$0")
 
 
+#: Pieces of a text that one fold runs over; even, so every run starts with text before a hit.
+RUN = 512
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def markable(text: Column) -> Column:
     """Text without the control character that ``pattern_hits`` marks hits with."""
     return F.replace(text, F.lit(MARK), F.lit(""))
@@ -115,14 +124,10 @@ def pattern_hits(plain: Column, pattern: str, context: int) -> Column:
 
     ``plain`` should be a column made with ``markable``, not a long expression: it is read once per hit.
 
-    The text is split around marked hits, so pieces alternate text, hit, text, ...; a fold over the
-    hits carries the offset. Everything stays inside the row: no shuffle, and only hit-sized values
+    The text is split around marked hits, so pieces alternate text, hit, text, ...; folds over runs of
+    pieces carry the offset. Everything stays inside the row: no shuffle, and only hit-sized values
     leave the row when the array is exploded.
     """
-    pieces = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK)
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("hits"), F.lit(False).alias("hit")
-    )
 
     def step(state: Column, piece: Column) -> Column:
         found = F.when(
@@ -131,7 +136,20 @@ def pattern_hits(plain: Column, pattern: str, context: int) -> Column:
         ).otherwise(state["hits"])
         return F.struct((state["at"] + F.length(piece)).alias("at"), found.alias("hits"), (~state["hit"]).alias("hit"))
 
-    hits = F.aggregate(pieces, start, step, lambda s: s["hits"])
+    def placed(pieces: Column) -> Column:
+        """Offsets by runs of an even number of pieces, so no array grows with the number of hits while it is folded."""
+        runs = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int"))
+        run = lambda c: F.slice(pieces, c * RUN + 1, F.lit(RUN))
+        lengths = F.transform(runs, lambda c: F.aggregate(run(c), F.lit(0), lambda n, p: n + F.length(p)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(
+            lengths, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
+        )
+        none = F.array().cast("array<struct<pos:int,raw:string>>")
+        begin = lambda at: F.struct(at.alias("at"), none.alias("hits"), F.lit(False).alias("hit"))
+        return once(starts, lambda at: F.flatten(F.transform(runs, lambda c: F.aggregate(run(c), begin(F.get(at, c)), step, lambda s: s["hits"]))))
+
+    hits = once(F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK), placed)
 
     def with_context(h: Column) -> Column:
         left = F.greatest(h["pos"] - context, F.lit(0))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollgauge import constants as K
 from tollgauge.functions.basics import current_model, effective_price, price_band, round_digits
 from tollgauge.functions.text import base_key, clean_name
-from tollgauge.operators.ordering import latest, top_overall, top_per_group
+from tollgauge.operators.ordering import global_rank, group_rank, latest, top_overall, top_per_group
 
 # --- curation ---------------------------------------------------------------------
 
@@ -165,6 +166,49 @@ def name_order(column: str) -> Column:
     return F.collate(F.col(column), "UNICODE").asc()
 
 
+def grid(plans: DataFrame, by: str, tier: str | None = None, max_price: float | None = None) -> DataFrame:
+    """The plan grid: filtered by tier and price cap, in one of the four orders, with ``position``.
+
+    Expects plan_id, tier, price and what the order reads: overall, benchmark_index or provider_name.
+    """
+    kept = grid_filter(plans, tier, max_price)
+    if by != "provider":
+        return global_rank(kept, grid_order(by), "position")
+    # providers are far fewer than plans, but no bound is known: their names get positions first, plans follow them
+    names = kept.select("provider_name").distinct().withColumn("__sort", F.collate("provider_name", "UNICODE").cast("string"))
+    named = kept.join(global_rank(names, [F.col("__sort"), F.col("provider_name")], "__name"), "provider_name")
+    return global_rank(named, [F.col("__name"), F.col("plan_id")], "position").drop("__name", "__sort")
+
+
+def catalog_groups(providers: DataFrame, categories: list[str], by: str = "index") -> DataFrame:
+    """Providers per category, categories in the given order: by best coding index (missing counts as -1) or by name.
+
+    Expects provider_id, provider_name, category, best_coding; adds group (of the category, from 1) and position inside it.
+    """
+    group = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")).cast("int")
+    rows = providers.withColumn("group", group).where(F.col("group") > 0).withColumn("strength", F.coalesce("best_coding", F.lit(-1.0)))
+    order = [F.col("provider_name").asc()] if by == "name" else [F.col("strength").desc()]
+    return group_rank(rows, ["group"], [*order, F.col("provider_id").asc()], "position").drop("strength")
+
+
+def provider_options(entries: DataFrame) -> DataFrame:
+    """Distinct providers of the entries in name order, with position; of several names the last entry's counts.
+
+    Expects provider_id, provider_name and ord, the order of the entries.
+    """
+    last = entries.groupBy("provider_id").agg(F.max_by("provider_name", "ord").alias("provider_name"))
+    return global_rank(last, [F.col("provider_name").asc(), F.col("provider_id").asc()], "position")
+
+
+def provider_upserts(offers: DataFrame, providers: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Offers with the provider their creator maps to and ``known``: whether that provider is there to take the model.
+
+    An unknown creator keeps its code; its offers stay as score rows but reach no provider. ``providers``: provider (code).
+    """
+    there = providers.select("provider", F.lit(True).alias("known")).distinct()
+    return with_provider(offers, mapping).join(there, "provider", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def selection(plans: DataFrame, requested: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
     """Requested plan ids that exist, at most ``high``; fewer than ``low`` falls back to the three best by score.
 
@@ -248,5 +292,31 @@ def active_providers_nested(providers: DataFrame, plans: DataFrame) -> DataFrame
     return p.join(nested, "provider_id", "left").withColumn("plans", F.coalesce("plans", empty))
 
 
+def write_nested(providers: DataFrame, plans: DataFrame, path: str) -> None:
+    """The documents of :func:`active_providers_nested` as JSON, one folder ``provider_id=...`` each, of any size.
+
+    A document is written line by line from ordered rows (opening, one line per plan, closing), so a sort that may spill takes the
+    place of an array per provider. ``read_nested`` reads them back.
+    """
+    p = providers.where("is_active")
+    live = plans.where("is_active").join(p.select("provider_id"), "provider_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("provider_id").orderBy("plan_id"))
+    line = F.concat(F.when(place > 1, ",").otherwise(""), F.to_json(F.struct("plan_id", "plan_name", "monthly_usd")))
+    own = F.to_json(F.struct(*[c for c in p.columns if c != "provider_id"]))
+    # the opening takes the provider's own fields without their closing brace
+    head = F.concat(F.left(own, F.length(own) - 1), F.when(F.length(own) > 2, ",").otherwise(""), F.lit('"plans":['))
+    rows = (
+        p.select("provider_id", F.lit(0).alias("part"), F.lit(0).alias("place"), head.alias("line"))
+        .unionByName(live.select("provider_id", F.lit(1).alias("part"), place.alias("place"), line.alias("line")))
+        .unionByName(p.select("provider_id", F.lit(2).alias("part"), F.lit(0).alias("place"), F.lit("]}").alias("line")))
+    )
+    ordered = rows.repartition("provider_id").sortWithinPartitions("provider_id", "part", "place")
+    ordered.select("provider_id", "line").write.mode("overwrite").partitionBy("provider_id").text(path)
+
+
+def read_nested(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", True).option("basePath", path).json(path)
+
+
 def priced(plans: DataFrame) -> DataFrame:
     return plans.withColumn("price", effective_price(F.col("monthly_usd"), F.col("annual_usd")))

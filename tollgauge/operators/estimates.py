@@ -11,7 +11,7 @@ from tollgauge.constants import NormalizationConfig
 from tollgauge.functions import capacity as C
 from tollgauge.functions.basics import effective_price, fixed_text, number_text, round_digits, weaker
 from tollgauge.operators.normalize import TARGETS, best_limit, document_limit, normalize_limits
-from tollgauge.operators.ordering import exact_median, latest
+from tollgauge.operators.ordering import exact_median, global_rank, latest
 
 SCORE_COLUMNS = [
     "intelligence", "coding", "agentic", "speed", "price_in", "price_out", "cost_per_task", "observed_at", "confidence",
@@ -187,6 +187,16 @@ def score_plans(plans: DataFrame, with_notes: bool = True) -> DataFrame:
     return out.withColumn("notes", notes)
 
 
+def ordered_plans(scored: DataFrame) -> DataFrame:
+    """All scored plans, best overall score first, with their position."""
+    return global_rank(scored, [F.col("overall").desc(), F.col("plan_id").asc()], "position")
+
+
+def ordered_efficiency(models: DataFrame) -> DataFrame:
+    """Rows of :func:`task_efficiency`, best composite first and those without one last, with their position."""
+    return global_rank(models, [F.col("composite").desc_nulls_last(), F.col("model_id").asc()], "position")
+
+
 def task_efficiency(models: DataFrame) -> DataFrame:
     """Cost of 100 tasks, quality per cost, composite and its share of the best composite."""
     cost = C.task_cost(F.col("price_in"), F.col("price_cache"), F.col("price_out"), F.col("out_tokens")) * 100

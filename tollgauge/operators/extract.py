@@ -17,6 +17,7 @@ from tollgauge.functions.text import (
     WORD_START,
     free_tier_label,
     markable,
+    once,
     pattern_confidence,
     pattern_hits,
     price_per_month,
@@ -69,7 +70,6 @@ AS_OF_MARK = r"(?i)(?:as of|last updated|pricing effective)[^.]*\."
 CAVEAT = rf"(?i)(?:limited to|capped at|maximum of|up to){S}[^.]*\."
 
 
-_HIT = "array<struct<pos:int,raw:string,context:string>>"
 _PRICES = "array<struct<pos:int,raw:string,amount:double,interval:string,confidence:string,context:string>>"
 _LIMIT = (
     "array<struct<pos:int,raw:string,kind:string,value:double,unit:string,reset_window:string,confidence:string,"
@@ -77,18 +77,20 @@ _LIMIT = (
 )
 
 
-def _first_of_each(items: Column, key, type_: str) -> Column:
-    """Keep the first array item per key. A fold, so ``items`` is evaluated once."""
+def _first_of_each(items: Column, key) -> Column:
+    """Keep the first array item per key, in order: equal keys are neighbours after a sort by (key, place)."""
 
-    def add(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: key(k) == key(x)), kept).otherwise(F.concat(kept, F.array(x)))
+    def kept(own: Column) -> Column:
+        keyed = F.sort_array(F.transform(own, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        first = once(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
+        return F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(own, i))
 
-    return F.aggregate(items, F.array().cast(type_), add)
+    return once(items, kept)
 
 
 def prices(text: Column) -> Column:
     """Distinct price mentions as array<struct<pos, raw, amount, interval, confidence, context>>."""
-    hits = _first_of_each(pattern_hits(text, PRICE, 100), lambda h: h["raw"], _HIT)
+    hits = _first_of_each(pattern_hits(text, PRICE, 100), lambda h: h["raw"])
 
     def describe(h: Column) -> Column:
         word = F.lower(F.regexp_extract(h["raw"], PRICE, 2))
@@ -114,7 +116,7 @@ def limits(text: Column) -> Column:
     vague wording that does not overlap an accepted hit. Accepted hits of different classes may overlap.
     """
     parts = [F.transform(pattern_hits(text, p[1], 80), _limit_of(*p)) for p in LIMITS]
-    return _first_of_each(F.concat(*parts), lambda x: _limit_key(x["raw"]), _LIMIT)
+    return _first_of_each(F.concat(*parts), lambda x: _limit_key(x["raw"]))
 
 
 def _limit_of(kind: str, pattern: str, value_g: int | None, unit_g: int | None, window_g: int | None):
@@ -149,7 +151,7 @@ def vague_limits(text: Column, found: Column) -> Column:
         return ~clash & ~F.array_contains(keys, _limit_key(h["raw"]))
 
     none = F.lit(None)
-    hits = _first_of_each(F.filter(pattern_hits(text, CATCH_ALL, 80), free), lambda h: _limit_key(h["raw"]), _HIT)
+    hits = _first_of_each(F.filter(pattern_hits(text, CATCH_ALL, 80), free), lambda h: _limit_key(h["raw"]))
     return F.transform(
         hits,
         lambda h: F.struct(

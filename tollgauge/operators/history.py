@@ -28,11 +28,9 @@ def latest_finished_run(runs: DataFrame, keys: Sequence[str], tiebreak: str = "r
     return latest(runs.where(F.col("status") != "running"), keys, [F.col("started_at").desc(), F.col(tiebreak).desc()])
 
 
-def content_changes(snapshots: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def content_changes(snapshots: DataFrame) -> DataFrame:
     """``changed``: no earlier snapshot of the page, or another hash than the one before."""
-    prev = previous_value(
-        snapshots, PAGE, F.date_trunc(slice_unit, "observed_at"), ["observed_at", "snapshot_id"], ["content_hash"]
-    )
+    prev = previous_value(snapshots, PAGE, ["observed_at", "snapshot_id"], ["content_hash"])
     changed = ~F.col("has_previous") | ~F.col("content_hash").eqNullSafe(F.col("prev_content_hash"))
     return prev.withColumn("changed", changed)
 

@@ -1,139 +1,169 @@
-"""Known-name mentions in text: longest name claims its characters first."""
+"""Known-name mentions in text: longest name claims its characters first.
+
+Names become a trie over the pieces that word boundaries cut them into. One linear pass over a text walks the trie from every piece
+and yields places, so a text never leaves its row: no exchange holds it. The trie travels to the tasks only while the names' size
+allows it; a larger name table is dealt by first piece to several tries, each of bounded size, and a row's hits are joined up again
+before claims are settled. Both steps run in the row, over Arrow batches.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollgauge.functions.text import markable, squeeze
+from tollgauge.functions.text import MARK, squeeze
 from tollgauge.operators.extract import exploded
 
 # A match that starts and ends at a word boundary always covers whole word / non-word segments, so
-# a name can only sit where the same number of consecutive segments spells it out.
-_SEGMENT = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
-# The Kelvin sign and the dotted capital I are the only letters whose lower form has an ASCII letter in it. They are
-# put out of the way first, so lower-case text is cut at the same places as the text itself.
-_ODD, _ASIDE = "\u212a\u0130", "\ue000\ue001"
+# a name can only sit where the same consecutive segments spell it out.
+_SEGMENT = re.compile("[A-Za-z0-9_]+|[^A-Za-z0-9_]+")
+# The Kelvin sign and the dotted capital I are the only letters whose lower form has an ASCII letter in it. They are put out of the
+# way first, so lower-case text is cut at the same places as the text itself; both lower forms of sigma are one letter.
+_FOLD = {0x212A: 0xE000, 0x130: 0xE001}
+#: Bytes of names in one trie.
+TRIE_BYTES = 8 << 20
+HITS = "array<struct<model_id:long,display_name:string,ord:long,pos:int,raw:string,around:string,before:boolean,after:boolean>>"
+_HITS = pa.list_(
+    pa.struct(
+        [("model_id", pa.int64()), ("display_name", pa.string()), ("ord", pa.int64()), ("pos", pa.int32()), ("raw", pa.string()), ("around", pa.string()), ("before", pa.bool_()), ("after", pa.bool_())]
+    )
+)
 
 
-def segments(text: Column) -> Column:
-    """Text cut at every word boundary; the pieces concatenate back to the text."""
-    return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
+def folded(text: str) -> str:
+    """Lower case of the same length, cut into segments at the same places."""
+    return text.lower() if text.isascii() else text.translate(_FOLD).lower().replace("ς", "σ")
 
 
-def folded(text: Column) -> Column:
-    """Lower case that keeps every cut between segments."""
-    return F.lower(F.translate(text, _ODD, _ASIDE))
+class Trie:
+    """Names by their segments. A node is (children by segment, names that end here)."""
 
+    def __init__(self, names: list[tuple[int, str, int]]):
+        self.root: tuple[dict, list] = ({}, [])
+        for model_id, name, ord_ in names:
+            node = self.root
+            for segment in _SEGMENT.findall(folded(name)):
+                node = node[0].setdefault(segment, ({}, []))
+            node[1].append((model_id, name, ord_))
 
-def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
-    """Every place a name occurs between word boundaries, before any claims: key, at, span, model_id, ord.
+    def places(self, text: str) -> Iterator[tuple[int, int, tuple]]:
+        """(start, end, name) of every occurrence between word boundaries, by start."""
+        low = folded(text)
+        cuts = [m.start() for m in _SEGMENT.finditer(low)] + [len(low)]
+        first = self.root[0]
+        for i in range(len(cuts) - 1):
+            node, j = first.get(low[cuts[i] : cuts[i + 1]]), i + 1
+            while node is not None:
+                for name in node[1]:
+                    yield cuts[i], cuts[j], name
+                if j + 1 >= len(cuts) or not node[0]:
+                    break
+                node, j = node[0].get(low[cuts[j] : cuts[j + 1]]), j + 1
 
-    Token n-grams meet the names in an equi-join; only the segment counts that names actually have are
-    generated. Small name tables join without a shuffle, large ones by hash of the n-gram.
+
+def _taken(hits: list[tuple]) -> list[tuple]:
+    """Claims among (start, end, name): longest names first, then catalog order, each searched left to right.
+
+    A search moves past every hit of its name, claimed or not; a hit that touches claimed characters claims nothing.
     """
-    known = names.where(F.length("display_name") > 0).select(
-        "model_id", "display_name", "ord", folded(F.col("display_name")).alias("gram"),
-        F.size(segments(F.col("display_name"))).alias("span"),
-    )
-    spans = [r[0] for r in known.select("span").distinct().orderBy("span").collect()]
-    if not spans:
-        return docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit(0).cast("bigint").alias("model_id")).where("false")
-    segs = docs.select(key, segments(folded(markable(F.col(text)))).alias("segs"))
-    # shifted copies side by side, so the n-grams are plain row expressions after the explode
-    shifted = [F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))).alias(f"s{d}") for d in range(max(spans))]
-    lined = segs.select(key, *shifted).select(key, F.posexplode_outer(F.arrays_zip(*[f"s{d}" for d in range(max(spans))])).alias("at", "s"))
-    grams = [F.struct(F.lit(n).alias("span"), F.concat(*[F.col(f"s.s{d}") for d in range(n)]).alias("gram")) for n in spans]
-    tokens = lined.select(key, "at", F.explode(F.array(*grams)).alias("g")).select(key, "at", "g.*")
-    return tokens.join(known, ["gram", "span"]).drop("gram")
+    hits.sort(key=lambda h: (-len(h[2][1]), h[2][2], h[0]))
+    starts: list[int] = []
+    ends: list[int] = []
+    out, name, scanned = [], None, 0
+    for start, end, own in hits:
+        if own[2] == name and start < scanned:
+            continue
+        name, scanned = own[2], end
+        at = bisect_right(starts, start)
+        if (at and ends[at - 1] > start) or (at < len(starts) and starts[at] < end):
+            continue
+        starts.insert(at, start)
+        ends.insert(at, end)
+        out.append((start, end, own))
+    return out
+
+
+def _scan(names: Broadcast, settle: bool, context: int):
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie = Trie(names.value)
+        for batch in batches:
+            found = []
+            for text in batch:
+                text = (text.as_py() or "").replace(MARK, "")
+                hits = list(trie.places(text))
+                found.append(
+                    [
+                        (*name, a, text[a:b], text[max(0, a - context) : b + context], a > context, b + context < len(text))
+                        for a, b, name in (_taken(hits) if settle else hits)
+                    ]
+                )
+            yield _column(found)
+
+    return F.arrow_udf(scan, HITS)
+
+
+def _column(found: list[list[tuple]]) -> pa.Array:
+    fields = list(_HITS.value_type)
+    flat = list(zip(*(hit for hits in found for hit in hits))) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), values)
+
+
+def _settle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        found = []
+        for hits in batch.to_pylist():
+            rows = [tuple(h.values()) for h in hits]
+            found.append([h for _, _, (_, _, _, h) in _taken([(h[3], h[3] + len(h[4]), (h[0], h[1], h[2], h)) for h in rows])])
+        yield _column(found)
+
+
+def hits(names: DataFrame, text: Column, settle: bool = True, context: int = 60, trie_bytes: int = TRIE_BYTES) -> Column:
+    """Hits of ``names`` (model_id, display_name, ord = catalog order) in ``text``: claims, or all places if ``settle`` is off.
+
+    Reads the names to measure them and to build the tries; a table larger than ``trie_bytes`` becomes several.
+    """
+    known = names.where(F.length("display_name") > 0).select(F.col("model_id").cast("long"), "display_name", F.col("ord").cast("long"))
+    size = known.agg(F.sum(F.octet_length("display_name") + 16)).first()[0] or 0
+    parts = max(1, -(-size // trie_bytes))
+    part = F.pmod(F.xxhash64("display_name"), F.lit(parts))
+    share = known.sparkSession.sparkContext.broadcast
+    tries = [share([tuple(r) for r in (known if parts == 1 else known.where(part == i)).collect()]) for i in range(parts)]
+    if parts == 1:
+        return _scan(tries[0], settle, context)(text)
+    found = F.concat(*[_scan(t, False, context)(text) for t in tries])
+    return F.arrow_udf(_settle, HITS)(found) if settle else found
+
+
+def snippet(hit: Column) -> Column:
+    """What stands around a hit, with an ellipsis where text is left out."""
+    mark = lambda cut: F.when(cut, "…").otherwise("")
+    return F.concat(mark(hit["before"]), squeeze(hit["around"]), mark(hit["after"]))
+
+
+def candidates(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """Every place a name occurs between word boundaries, before any claims: key, model_id, display_name, ord, pos, raw."""
+    found = exploded(docs, [key], hits(names, F.col(text), settle=False), "m")
+    return found.select(key, "m.model_id", "m.display_name", "m.ord", "m.pos", "m.raw")
 
 
 def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, context: int = 60) -> DataFrame:
     """Claimed mentions per document: model_id, display_name, raw, pos, snippet.
 
-    ``docs`` has one row per ``key``; ``names`` has model_id, display_name and ``ord`` (catalog order).
-    Candidates return to their document once to get offsets and snippets. Claims are then settled inside
-    runs of overlapping candidates, which are small however many mentions a document has.
+    ``docs`` has one row per ``key``; ``names`` has model_id, display_name and ``ord`` (catalog order). Nothing is shuffled.
     """
-    found = candidates(docs, names, key, text)
-    per_doc = found.groupBy(key).agg(F.collect_list(F.struct("at", "span", "model_id", "display_name", "ord")).alias("found"))
-    # a fixed partition count keeps AQE from folding this CPU-bound stage into a few tasks on small inputs
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(key, markable(F.col(text)).alias("plain")).repartition(parts, key).join(per_doc, key)
-    base = base.select(key, "found", segments(F.col("plain")).alias("segs"))
-    base = base.withColumn("ats", F.array_sort(F.array_distinct(F.transform("found", lambda m: m["at"]))))
-    # one pass over the segments; an offset is kept only where a candidate starts
-    start_state = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("pos"), F.lit(0).alias("j"), F.array().cast("array<int>").alias("out")
-    )
+    return mention_rows(exploded(docs, [key], hits(names, F.col(text), context=context), "m"), [key])
 
-    def walk(s: Column, seg: Column) -> Column:
-        here = F.coalesce(F.get("ats", s["j"]) == s["i"], F.lit(False))
-        return F.struct(
-            (s["i"] + 1).alias("i"), (s["pos"] + F.length(seg)).alias("pos"),
-            F.when(here, s["j"] + 1).otherwise(s["j"]).alias("j"),
-            F.when(here, F.concat(s["out"], F.array(s["pos"]))).otherwise(s["out"]).alias("out"),
-        )
-
-    walked = F.aggregate("segs", start_state, walk, lambda s: F.struct(s["out"].alias("starts"), s["pos"].alias("total")))
-    base = base.withColumn("walked", walked)
-
-    def piece(first: Column, last: Column) -> Column:
-        """Text of the segments ``first``..``last``, read by index so that a long text costs nothing extra."""
-        return F.when(
-            first <= last, F.array_join(F.transform(F.sequence(first, last), lambda i: F.get("segs", i)), "")
-        ).otherwise("")
-
-    def place(m: Column) -> Column:
-        pos = F.get("walked.starts", (F.array_position("ats", m["at"]) - 1).cast("int"))
-        after = m["at"] + m["span"]
-        # every segment holds at least one character, so ``context`` segments always cover ``context`` characters
-        left = F.right(piece(F.greatest(m["at"] - context, F.lit(0)), m["at"] - 1), F.lit(context))
-        right = F.left(piece(after, F.least(after + context, F.size("segs")) - 1), F.lit(context))
-        return F.struct(
-            m["model_id"].alias("model_id"), m["display_name"].alias("display_name"), m["ord"].alias("ord"), pos.alias("pos"),
-            piece(m["at"], after - 1).alias("raw"), left.alias("left"), right.alias("right"),
-        )
-
-    def snippet(m: Column) -> Column:
-        head = F.when(m["pos"] > context, "…").otherwise("")
-        tail = F.when(m["pos"] + F.length(m["raw"]) + context < F.col("walked.total"), "…").otherwise("")
-        around = squeeze(F.concat(m["left"], m["raw"], m["right"]))
-        return F.struct(
-            m["model_id"].alias("model_id"), m["display_name"].alias("display_name"), m["ord"].alias("ord"), m["pos"].alias("pos"),
-            m["raw"].alias("raw"), F.concat(head, around, tail).alias("snippet"),
-        )
-
-    placed = exploded(base, [key], F.transform(F.transform("found", place), snippet), "m").select(key, "m.*")
-    placed = placed.withColumn("end", F.col("pos") + F.length("raw"))
-    # a new run starts where no earlier candidate reaches; both windows use the join's partitioning by document
-    by_pos = W.partitionBy(key).orderBy("pos", "end", "ord")
-    reach = F.max("end").over(by_pos.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("pos") >= reach), 1).otherwise(0)
-    runs = placed.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(by_pos))
-    item = F.struct((-F.length("display_name")).alias("shorter"), "ord", "pos", "end", "model_id", "display_name", "raw", "snippet")
-    grouped = runs.groupBy(key, "__run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept_type = "array<struct<shorter:int,ord:bigint,pos:int,end:int,model_id:bigint,display_name:string,raw:string,snippet:string>>"
-    start = F.struct(F.array().cast(kept_type).alias("kept"), F.lit(None).cast("bigint").alias("name"), F.lit(0).alias("scanned"))
-
-    def claim(s: Column, x: Column) -> Column:
-        # one name is searched left to right and moves past every hit, claimed or not
-        skipped = (s["name"] == x["ord"]) & (x["pos"] < s["scanned"])
-        blocked = F.exists(s["kept"], lambda k: (x["pos"] < k["end"]) & (x["end"] > k["pos"]))
-        kept = F.when(F.coalesce(skipped, F.lit(False)) | blocked, s["kept"]).otherwise(F.concat(s["kept"], F.array(x)))
-        scanned = F.when(F.coalesce(skipped, F.lit(False)), s["scanned"]).otherwise(x["end"])
-        return F.struct(kept.alias("kept"), x["ord"].alias("name"), scanned.alias("scanned"))
-
-    typed = F.transform(
-        "items",
-        lambda x: F.struct(
-            x["shorter"].alias("shorter"), x["ord"].cast("bigint").alias("ord"), x["pos"].cast("int").alias("pos"),
-            x["end"].cast("int").alias("end"), x["model_id"].cast("bigint").alias("model_id"), x["display_name"].alias("display_name"),
-            x["raw"].alias("raw"), x["snippet"].alias("snippet"),
-        ),
-    )
-    won = F.aggregate(typed, start, claim, lambda s: s["kept"])
-    return exploded(grouped, [key], won, "w").select(
-        key, "w.model_id", "w.display_name", "w.raw", "w.pos", "w.snippet", F.lit("observed").alias("confidence")
+
+def mention_rows(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of one hit ``m`` per row."""
+    return found.select(
+        *keys, "m.model_id", "m.display_name", "m.raw", "m.pos", snippet(F.col("m")).alias("snippet"), F.lit("observed").alias("confidence")
     )

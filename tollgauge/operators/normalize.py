@@ -67,26 +67,17 @@ def model_multiplier(model_id: Column, mapping: dict[str, float]) -> Column:
 def lookup_by_prefix(df: DataFrame, key: str, mapping: DataFrame, value: str) -> DataFrame:
     """Prefix lookup against a mapping *table* (``key``, ``ord``, ``value``) of any size.
 
-    One equi-join per distinct key length, so no theta join is needed; the exact hit wins, then lowest ``ord``.
-    Key lengths are bounded by the longest id, and each join side is chosen by size at run time.
+    Distinct keys meet the table once, through all their prefixes, whatever lengths the table holds; the exact hit
+    wins, then the lowest ``ord``. The rows themselves only join the keys that were found.
     """
-    lengths = [r[0] for r in mapping.select(F.length("key")).distinct().orderBy(F.length("key")).collect()]
-    out = df.withColumn("__k", F.col(key))
-    hits = []
-    for n in lengths:
-        hit = f"__hit{n}"
-        side = mapping.where(F.length("key") == n).select(
-            F.col("key").alias(f"__key{n}"), F.struct(F.col("ord").alias("ord"), F.col(value).alias("value")).alias(hit)
-        )
-        out = out.join(side, F.left(F.col("__k"), F.lit(n)) == F.col(f"__key{n}"), "left")
-        exact = F.length("__k") == n
-        ranked = F.struct(
-            F.when(exact, 0).otherwise(1).alias("p"), F.col(hit)["ord"].alias("ord"), F.col(hit)["value"].alias("value")
-        )
-        hits.append(F.when(F.col(hit).isNotNull(), ranked))
-    best = F.array_min(F.array_compact(F.array(*hits))) if hits else F.lit(None)
-    drop = ["__k"] + [c for n in lengths for c in (f"__key{n}", f"__hit{n}")]
-    return out.withColumn(value, best["value"] if hits else F.lit(None)).drop(*drop)
+    ids = df.select(F.col(key).alias("__id")).distinct().where(F.col("__id").isNotNull())
+    cut = ids.select("__id", F.explode(F.sequence(F.lit(0), F.length("__id"))).alias("__n"))
+    cut = cut.withColumn("__prefix", F.left("__id", F.col("__n")))
+    side = mapping.select(F.col("key").alias("__prefix"), F.col("ord").alias("__ord"), F.col(value).alias("__value"))
+    order = F.struct(F.col("__n") < F.length("__id"), F.col("__ord"))
+    best = cut.join(side, "__prefix").groupBy("__id").agg(F.min_by("__value", order).alias(value))
+    kept = df.select(*[c for c in df.columns if c != value])
+    return kept.join(best, F.col(key) == F.col("__id"), "left").drop("__id")
 
 
 def normalize_limits(df: DataFrame, cfg: NormalizationConfig | None = None) -> DataFrame:

@@ -4,64 +4,66 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tollgauge.functions.text import content_hash, readable_text
 from tollgauge.operators import extract as X
 from tollgauge.operators.history import PAGE, changed_now
-from tollgauge.operators.mentions import mentions
+from tollgauge.operators.mentions import hits, mention_rows
 from tollgauge.session import durable
 
 
 @dataclass
 class CrawlResult:
-    """Tables one corpus run appends, and its one-row counter summary."""
+    """Tables one corpus run appends, its one-row counter summary, and all counters by name (``errors`` among them)."""
 
     snapshots: DataFrame
     prices: DataFrame
     limits: DataFrame
     mentions: DataFrame
     summary: DataFrame
+    counters: dict[str, int]
 
 
-def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force: bool = False, keep: bool = True) -> CrawlResult:
+def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force: bool = False) -> CrawlResult:
     """Process fetched pages. ``pages``: page_key, provider_id, source_url, page_type, html, observed_at, allowed.
 
     Unchanged pages only get a snapshot without text; extraction runs on changed pages alone, after one hash
     comparison against the newest stored snapshot of each page. Prices come from pricing pages, limits and
-    mentions from pricing and docs pages. The extracted frame feeds five outputs, so it is written once
-    (``keep``) instead of being recomputed by each of them.
+    mentions from pricing and docs pages. One pass over the pages leaves everything behind: texts and hits are
+    stored once, as arrays of a page's row, and the counters are observed on the way.
+
+    An allowed page whose body is missing or no valid UTF-8 is an error: it is counted, leaves no rows, and the run goes on.
     """
-    fetched = pages.where("allowed").withColumn("content_hash", content_hash(F.col("html")))
+    broken = F.col("html").isNull() | ~F.is_valid_utf8("html")
+    seen, done = Observation("pages"), Observation("extracted")
+    allowed = F.coalesce("allowed", F.lit(False))
+    watched = pages.withColumns({"__broken": broken, "allowed": allowed}).observe(
+        seen, F.count_if("allowed").alias("processed"), F.count_if(~F.col("allowed")).alias("skipped"), F.count_if(F.col("allowed") & F.col("__broken")).alias("errors")
+    )
+    fetched = watched.where(F.col("allowed") & ~F.col("__broken")).drop("__broken").withColumn("content_hash", content_hash(F.col("html")))
     compared = changed_now(fetched, history)
     if force:
         compared = compared.withColumn("changed", F.lit(True))
-    changed = compared.where("changed").withColumn("text", readable_text(F.col("html"))).drop("html")
-    extracted = X.with_extractions(changed, "text", "page_type")
-    if keep:
-        extracted = durable(extracted)
-    disclosed = extracted.where(F.col("page_type").isin("pricing", "docs"))
-    found = mentions(disclosed.select("page_key", "text"), names, "page_key", "text")
-    per_page = found.groupBy("page_key").agg(F.count("*").alias("mention_count"))
-    noted = extracted.join(per_page, "page_key", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)))
+    text = F.when(F.col("changed"), readable_text(F.col("html")))
+    extracted = X.with_extractions(compared.withColumn("text", text).drop("html"), "text", "page_type")
+    disclosed = F.when(F.col("page_type").isin("pricing", "docs"), F.col("text"))
+    extracted = extracted.withColumn("mentions", hits(names, disclosed))
+    size = lambda c: F.coalesce(F.sum(F.when(F.col("changed"), F.size(c))), F.lit(0)).alias(c)
+    extracted = durable(extracted.observe(done, F.count_if("changed").alias("changed"), size("prices"), size("limits"), size("mentions")))
+    counters = {**seen.get, **done.get}
+
+    changed = F.col("changed")
     notes = F.to_json(
-        F.struct("footnotes", X.assumptions(F.col("text"), F.col("prices"), F.col("limits"), F.col("mention_count")).alias("assumptions"))
-    )
-    with_text = noted.select(
-        "page_key", *PAGE, "observed_at", "content_hash", F.col("text").alias("extracted_text"), notes.alias("notes")
-    )
-    same = compared.where(~F.col("changed")).select(
-        "page_key", *PAGE, "observed_at", "content_hash", F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("string").alias("notes")
+        F.struct("footnotes", X.assumptions(F.col("text"), F.col("prices"), F.col("limits"), F.size("mentions")).alias("assumptions"))
     )
-    prices, limits = X.price_rows(extracted, ["page_key"]), X.limit_rows(extracted, ["page_key"])
-    counted = extracted.agg(
-        F.count("*").alias("changed"), F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("prices"),
-        F.coalesce(F.sum(F.size("limits")), F.lit(0)).alias("limits"),
+    snapshots = extracted.select(
+        "page_key", *PAGE, "observed_at", "content_hash", F.col("text").alias("extracted_text"), F.when(changed, notes).alias("notes")
     )
-    total = pages.agg(F.count_if("allowed").alias("processed"), F.count_if(~F.col("allowed")).alias("skipped"))
-    summary = total.select(
-        "processed", "skipped", *[counted.select(c).scalar().alias(c) for c in ("changed", "prices", "limits")],
-        found.agg(F.count("*")).scalar().alias("mentions"),
+    live = extracted.where(changed)
+    names_of = ("processed", "skipped", "changed", "prices", "limits", "mentions")
+    summary = pages.sparkSession.createDataFrame([tuple(counters[c] for c in names_of)], ", ".join(f"{c} bigint" for c in names_of))
+    return CrawlResult(
+        snapshots, X.price_rows(live, ["page_key"]), X.limit_rows(live, ["page_key"]), mention_rows(X.exploded(live, ["page_key"], F.col("mentions"), "m"), ["page_key"]), summary, counters
     )
-    return CrawlResult(with_text.unionByName(same), prices, limits, found, summary)

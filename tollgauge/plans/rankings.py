@@ -142,6 +142,22 @@ def best_plan_per_model(rows: DataFrame, scores: DataFrame) -> DataFrame:
     return out.withColumn("caveats", caveats)
 
 
+def default_models(ranked: DataFrame, profiles: DataFrame, n: int = 5, least: int = 3) -> DataFrame:
+    """Default comparison set: the first ``n`` of ``ranked`` (model_id, rank) that have a profile; under ``least`` of them, the first ``n`` profiles.
+
+    ``profiles``: model_id, ord. Both branches are at most ``n`` rows.
+    """
+    chosen = ranked.where(F.col("rank") <= n).join(profiles.select("model_id"), "model_id", "left_semi").select("model_id", "rank")
+    first = top_overall(profiles.select("model_id", "ord"), [F.col("ord").asc(), F.col("model_id").asc()], n).select("model_id", "rank")
+    enough = chosen.agg(F.count("*") >= least).scalar()
+    return chosen.where(enough).unionByName(first.where(~enough))
+
+
+def ordered_models(per_model: DataFrame) -> DataFrame:
+    """Models of :func:`best_plan_per_model` by quality, best first and unrated ones last, with their position."""
+    return global_rank(per_model, [F.col("wmq").desc_nulls_last(), F.col("model_id").asc()], "position")
+
+
 def provider_peak(rows: DataFrame) -> DataFrame:
     """Best coding-weighted tokens per dollar of each provider; rounded only after the maximum is chosen."""
     worth = F.col("tokens_1mo") * (F.col("coding_index") / 100) / F.col("price")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["usage", "ranking", "history", "text", "catalog", "quality"]
+MODULES = ["usage", "ranking", "history", "text", "catalog", "quality", "orders"]
 
 
 def load():

@@ -82,10 +82,8 @@ def price_vs_baseline(v: Views):
     ),
 )
 def price_day_over_day(v: Views):
-    """Every price in the history against the one before it; slices are calendar months."""
-    prev = previous_value(
-        v.price_history, ["plan_id"], F.trunc("observed_date", "month"), ["observed_date", "snapshot_id"], ["price"]
-    )
+    """Every price in the history against the one before it."""
+    prev = previous_value(v.price_history, ["plan_id"], ["observed_date", "snapshot_id"], ["price"])
     known = prev.where(F.col("prev_price") != 0)
     change = F.abs((F.col("price") - F.col("prev_price")) / F.col("prev_price"))
     return known.withColumn("change", change).where(F.col("change") > 0.2).select(

@@ -10,7 +10,8 @@ from tollgauge.plans.rankings import union_all
 from tollgauge.queries import history as HQ
 from tollgauge.queries.registry import query
 from tollgauge.queries.sql_views import num_text, sql
-from tollgauge.queries.text import KEYS, _limits_sql
+from tollgauge.queries.text import _PRICE, KEYS, _limits_sql, _readable, placed_views
+from tollgauge.queries.text import names as benchmark_names
 from tollgauge.sources.views import Views, as_of
 
 DAY = "2001-09-10"
@@ -346,3 +347,51 @@ def corpus_extract(v: Views):
 def corpus_snapshots(v: Views):
     pages, stored = corpus(v)
     return process_pages(pages, stored, names(v.spark)).snapshots.select("page_key", "content_hash", "extracted_text")
+
+
+# The same run over the pages table: addresses with a fragment are not allowed, those with a query are stored already, English pages
+# are price lists, French ones documentation; names come from the benchmark table.
+_LIVE = f"""SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'pricing' WHEN contains(url, '/fr/') THEN 'docs' ELSE 'models' END AS page_type,
+    {_readable("html")} AS text FROM pages WHERE NOT contains(url, '#') AND NOT contains(url, '?')"""
+
+
+def page_run(v: Views):
+    url = F.col("url")
+    kind = F.when(url.contains("/en/"), "pricing").when(url.contains("/fr/"), "docs").otherwise("models")
+    pages = v.texts("pages", "page_id", "url", "html").select(
+        F.col("page_id").alias("page_key"), F.lit(0).alias("provider_id"), F.concat_ws(" ", "page_id", "url").alias("source_url"), kind.alias("page_type"), "html",
+        F.lit("2001-08-02").cast("timestamp_ntz").alias("observed_at"), (~url.contains("#")).alias("allowed"), url.contains("?").alias("stored"),
+    )
+    history = pages.where("stored").select(
+        "provider_id", "source_url", F.lit("2001-08-01").cast("timestamp_ntz").alias("observed_at"), F.lit(1).alias("snapshot_id"), F.sha2("html", 256).alias("content_hash")
+    )
+    return process_pages(pages.drop("stored"), history, benchmark_names(v))
+
+
+@query(
+    "corpus_pages",
+    sql(
+        f"""SELECT 'processed' AS counter, count(*) AS n FROM pages WHERE NOT contains(url, '#') UNION ALL SELECT 'skipped', count(*) FROM pages WHERE contains(url, '#')
+           UNION ALL SELECT 'errors', count(*) FROM pages WHERE html IS NULL AND NOT contains(url, '#') UNION ALL SELECT 'changed', count(*) FROM live
+           UNION ALL SELECT 'prices', count(*) FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '{_PRICE}', 0, 'i'))) FROM live WHERE page_type = 'pricing')
+           UNION ALL SELECT 'limits', count(*) FROM limit_hit UNION ALL SELECT 'mentions', count(*) FROM won""",
+        "limit_hit", live=_LIVE, disclosed="SELECT page_id, text FROM live WHERE page_type IN ('pricing', 'docs')", **_limits_sql("page_id", "disclosed"),
+        **placed_views("disclosed", "page_id"),
+    ),
+)
+def corpus_pages(v: Views):
+    """All counters of a run over the pages."""
+    found = page_run(v).counters
+    return v.spark.createDataFrame(list(found.items()), "counter string, n bigint")
+
+
+@query(
+    "corpus_page_mentions",
+    sql(
+        "SELECT p.page_id AS page_key, p.model_id, p.raw, p.pos FROM place p JOIN won ON won.page_id = p.page_id AND won.w.m = p.model_id AND won.w.pos = p.pos",
+        "place", "won", live=_LIVE, disclosed="SELECT page_id, text FROM live WHERE page_type IN ('pricing', 'docs')", **placed_views("disclosed", "page_id"),
+    ),
+)
+def corpus_page_mentions(v: Views):
+    """Names claimed on changed price lists and documentation."""
+    return page_run(v).mentions.select("page_key", "model_id", "raw", F.col("pos").cast("bigint").alias("pos"))

@@ -21,9 +21,7 @@ def estimates(v: Views):
 
 
 def rows(v: Views):
-    # limits of one plan in ten carry no date
-    undated = v.limit.withColumn("accessed_date", F.when(F.col("plan_id") % 10 != 7, F.col("accessed_date")))
-    usage = R.usage_dates(undated, v.LIMIT_ORDER, v.plan)
+    usage = R.usage_dates(v.limit, v.LIMIT_ORDER, v.plan)
     return R.plan_model_rows(estimates(v), v.scoped_plan, v.provider, v.model, v.score, usage)
 
 
@@ -323,10 +321,25 @@ def features(v: Views):
     )
 
 
-@query(
-    "plan_score_branches",
-    sql(
-        f"""SELECT plan_id, price, tokens_1mo, plan_wmq, benchmark_index, feature_score, cost_score, cost_per_message, notes,
+def scored_plans(v: Views):
+    """Every plan with its price, quality inputs and overall score."""
+    f = features(v)
+    feature = C.feature_score({n: F.col(n) for n in K.FEATURE_WEIGHTS}, F.col("ide_count"))
+    tokens = N.best_limit(N.normalize_limits(N.document_limit(v.limit)), v.LIMIT_ORDER).select("plan_id", "tokens_1mo")
+    wmq = E.best_quality_per_plan(v.plan_model, v.score).select("plan_id", F.col("wmq").alias("plan_wmq"))
+    bench = E.benchmark_per_plan(v.plan_model, E.benchmark_index(benchmarks(v)))
+    plans = v.plan.select("plan_id", B.effective_price(F.col("monthly_usd"), F.col("annual_usd")).alias("price"))
+    base = (
+        plans.join(f.select("plan_id", feature.alias("feature_score")), "plan_id")
+        .join(tokens, "plan_id", "left")
+        .join(wmq, "plan_id", "left")
+        .join(bench, "plan_id", "left")
+        .join(E.cost_per_message(plans, v.limit, v.LIMIT_ORDER), "plan_id", "left")
+    )
+    return E.score_plans(base)
+
+
+_PLAN_SCORE = f"""SELECT plan_id, price, tokens_1mo, plan_wmq, benchmark_index, feature_score, cost_score, cost_per_message, notes,
              CASE WHEN tokens_1mo IS NOT NULL AND price > 0 THEN least(100e0, floor(tokens_1mo * (quality / 100) / price / 40000e0 * 100 + 0.5))
                WHEN tokens_1mo IS NOT NULL AND price = 0 THEN least(100e0, floor(quality * 0.6e0 + feature_score * 0.4e0 + 0.5))
                ELSE floor(cost_score * 0.35e0 + bench * 0.4e0 + feature_score * 0.25e0 + 0.5) END AS overall
@@ -348,50 +361,41 @@ def features(v: Views):
                WHERE access_type <> 'legacy' GROUP BY r.plan_id) x ON x.plan_id = p.plan_id
              LEFT JOIN (SELECT plan_id, CASE WHEN limit_type = 'messages_per_day' THEN limit_value * 30 ELSE limit_value END AS monthly FROM plan_limit
                WHERE limit_type IN ('messages_per_month', 'messages_per_day') QUALIFY row_number() OVER (PARTITION BY plan_id
-               ORDER BY order_id, line, model_id, limit_value, limit_type) = 1) m ON m.plan_id = p.plan_id)""",
-        "plan", "best_limit", "plan_quality", "plan_limit", feat=_FEATURES, **_BENCH_CTE,
-    ),
-)
+               ORDER BY order_id, line, model_id, limit_value, limit_type) = 1) m ON m.plan_id = p.plan_id)"""
+#: Views that ``scored`` (every plan with its overall score) needs.
+SCORED = {"feat": _FEATURES, **_BENCH_CTE, "scored": _PLAN_SCORE}
+
+
+@query("plan_score_branches", sql("SELECT * FROM scored", "plan", "best_limit", "plan_quality", "plan_limit", **SCORED))
 def plan_score_branches(v: Views):
-    f = features(v)
-    feature = C.feature_score({n: F.col(n) for n in K.FEATURE_WEIGHTS}, F.col("ide_count"))
-    tokens = N.best_limit(N.normalize_limits(N.document_limit(v.limit)), v.LIMIT_ORDER).select("plan_id", "tokens_1mo")
-    wmq = E.best_quality_per_plan(v.plan_model, v.score).select("plan_id", F.col("wmq").alias("plan_wmq"))
-    bench = E.benchmark_per_plan(v.plan_model, E.benchmark_index(benchmarks(v)))
-    plans = v.plan.select("plan_id", B.effective_price(F.col("monthly_usd"), F.col("annual_usd")).alias("price"))
-    base = (
-        plans.join(f.select("plan_id", feature.alias("feature_score")), "plan_id")
-        .join(tokens, "plan_id", "left")
-        .join(wmq, "plan_id", "left")
-        .join(bench, "plan_id", "left")
-        .join(E.cost_per_message(plans, v.limit, v.LIMIT_ORDER), "plan_id", "left")
-    )
-    return E.score_plans(base).select(
+    return scored_plans(v).select(
         "plan_id", "price", "tokens_1mo", "plan_wmq", "benchmark_index", "feature_score", "cost_score", "cost_per_message",
         F.array_join("notes", " ").alias("notes"), "overall",
     )
 
 
-@query(
-    "task_cost_efficiency",
-    sql(
-        """SELECT *, composite / (SELECT max(composite) FROM c) AS share_of_best FROM c""",
-        "score",
-        c="""SELECT *, CASE WHEN cost100 > 0 THEN intel / cost100 END AS intel_per_cost, CASE WHEN cost100 > 0 THEN intel * tps / cost100 END AS composite FROM (
-           SELECT model_id, coalesce(intelligence, 0e0) AS intel, coalesce(speed, 1e0) AS tps,
-             (price_in * 7000 / 1000000 + coalesce(cost_per_task, price_in) * 3000 / 1000000 + (1000 + 10 * coalesce(agentic, 0e0)) * price_out / 1000000) * 100 AS cost100
-           FROM (SELECT * REPLACE (CASE WHEN price_in > 0 THEN price_in END AS price_in) FROM score))""",
-    ),
-)
-def task_cost_efficiency(v: Views):
+#: View ``tasks``: every model with its task costs and composite.
+TASKS = {
+    "tasks": """SELECT *, CASE WHEN cost100 > 0 THEN intel / cost100 END AS intel_per_cost, CASE WHEN cost100 > 0 THEN intel * tps / cost100 END AS composite FROM (
+        SELECT model_id, coalesce(intelligence, 0e0) AS intel, coalesce(speed, 1e0) AS tps,
+          (price_in * 7000 / 1000000 + coalesce(cost_per_task, price_in) * 3000 / 1000000 + (1000 + 10 * coalesce(agentic, 0e0)) * price_out / 1000000) * 100 AS cost100
+        FROM (SELECT * REPLACE (CASE WHEN price_in > 0 THEN price_in END AS price_in) FROM score))"""
+}
+
+
+def task_models(v: Views):
     """Models without a positive input price stay, with null costs."""
     s = v.score.withColumn("price_in", F.when(F.col("price_in") > 0, F.col("price_in")))
-    models = s.select(
+    return s.select(
         "model_id", F.coalesce("intelligence", F.lit(0.0)).alias("intel"), F.coalesce("speed", F.lit(1.0)).alias("tps"), "price_in",
         F.col("cost_per_task").alias("price_cache"), "price_out",
         (F.lit(1000) + F.lit(10) * F.coalesce("agentic", F.lit(0.0))).alias("out_tokens"),
     )
-    return E.task_efficiency(models).select("model_id", "intel", "tps", "cost100", "intel_per_cost", "composite", "share_of_best")
+
+
+@query("task_cost_efficiency", sql("SELECT *, composite / (SELECT max(composite) FROM tasks) AS share_of_best FROM tasks", "score", **TASKS))
+def task_cost_efficiency(v: Views):
+    return E.task_efficiency(task_models(v)).select("model_id", "intel", "tps", "cost100", "intel_per_cost", "composite", "share_of_best")
 
 
 def radar(v: Views, n: int = 10):

@@ -189,7 +189,7 @@ VIEWS["estimate"] = """SELECT *, CASE WHEN qa_1mo IS NOT NULL AND price <> 0 THE
 VIEWS["model_index"] = """SELECT model_id, display_name, provider_id FROM model
         WHERE provider_id IN (SELECT provider_id FROM scoped_plan)"""
 VIEWS["usage_date"] = """SELECT p.plan_id, coalesce(l.accessed_date, p.last_verified) AS usage_date FROM plan p LEFT JOIN (
-        SELECT plan_id, accessed_date FROM plan_limit WHERE plan_id % 10 <> 7
+        SELECT plan_id, accessed_date FROM plan_limit
         QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY order_id, line, model_id, limit_value, limit_type) = 1) l ON l.plan_id = p.plan_id"""
 VIEWS["plan_model_row"] = f"""SELECT e.*, p.plan_name, p.provider_id, v.provider_name, p.accessed_date AS pricing_date,
         s.observed_at AS score_date, s.coding AS coding_index, u.usage_date,

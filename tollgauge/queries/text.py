@@ -199,9 +199,39 @@ def mention_candidates(v: Views):
     return c.groupBy("model_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
-@query("doc_mentions")
+def placed_views(source: str, key: str) -> dict[str, str]:
+    """Views up to ``place`` (every hit per name, from the pieces and matches of one split) and ``won`` (the hits that claim their characters)."""
+    return {
+        "named": _NAMES,
+        "pair": f"""SELECT {key}, model_id, display_name, replace(text, chr(1), '') AS text, '(?i)\\b' || regexp_escape(display_name) || '\\b' AS pattern
+            FROM {source}, named WHERE display_name <> '' AND contains(lower(text), lower(display_name))""",
+        "split": "SELECT *, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS pieces FROM pair",
+        "place": f"""SELECT {key}, model_id, display_name, text, hits[i] AS raw, CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p)))
+            + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS pos FROM split, unnest(range(1, len(hits) + 1)) AS t(i)""",
+        "run": f"""SELECT *, pos + length(raw) AS fin, max(pos + length(raw)) OVER (PARTITION BY {key} ORDER BY pos, pos + length(raw), model_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM place""",
+        "numbered": f"""SELECT *, sum(CASE WHEN reach IS NULL OR pos >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos, fin, model_id
+            ROWS UNBOUNDED PRECEDING) AS island FROM run""",
+        "listed": f"""SELECT {key}, island, list([{{'m': model_id, 'pos': pos, 'fin': fin}}] ORDER BY length(display_name) DESC, model_id, pos) AS items
+            FROM numbered GROUP BY {key}, island""",
+        "won": f"""SELECT {key}, unnest(list_reduce(items, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: x[1].pos < k.fin AND x[1].fin > k.pos)) > 0
+            THEN kept ELSE list_concat(kept, x) END)) AS w FROM listed""",
+    }
+
+
+@query(
+    "doc_mentions",
+    sql(
+        f"""SELECT p.doc_id, p.model_id, p.display_name, p.raw, p.pos, CASE WHEN p.pos > 60 THEN '…' ELSE '' END
+          || {_squeeze("substr(p.text, greatest(p.pos - 60, 0) + 1, least(p.pos, 60) + length(p.raw) + 60)")}
+          || CASE WHEN p.pos + length(p.raw) + 60 < length(p.text) THEN '…' ELSE '' END AS snippet, 'observed' AS confidence
+        FROM place p JOIN won ON won.doc_id = p.doc_id AND won.w.m = p.model_id AND won.w.pos = p.pos""",
+        **placed_views("documents", "doc_id"),
+    ),
+)
 def doc_mentions(v: Views):
-    return M.mentions(v.texts("documents", "doc_id", "text"), names(v), "doc_id", "text")
+    """Claimed mentions with their surroundings."""
+    return M.mentions(v.texts("documents", "doc_id", "text"), names(v), "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # Rule files: one per host, its rules taken from the host's own URLs (first path of each language folder).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,15 +154,65 @@ def roll_baseline(current: DataFrame, root: str, day: str, threshold: float = 0.
 # --- published files ---------------------------------------------------------------------------
 
 
-def publish(docs: DataFrame, root: str, generated: str) -> None:
-    """Flat plans (also keyed by id, last duplicate wins), models, providers and the method description as JSON."""
+MANIFEST = "current.json"
+
+
+def _files(spark: SparkSession, root: str):
+    """(path maker, file context) of Hadoop's file system at ``root``."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    return fs.Path, fs.FileContext.getFileContext(fs.Path(root).toUri(), spark._jsc.hadoopConfiguration())
+
+
+def commit_version(spark: SparkSession, root: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
+    """Publish ``tables`` as JSON under ``root`` all at once; returns the version's name.
+
+    They are written to a folder of their own first. The manifest then switches to it in one rename, so a reader gets all tables of
+    the old version or all of the new one, and a run that fails earlier leaves nothing but a folder no manifest names. The last
+    ``keep`` published versions stay for readers that have opened them; folders of older and failed runs go with the next switch.
+    """
+    path, files = _files(spark, root)
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").json(f"{root}/versions/{version}/{name}")
+    old = manifest(spark, root)
+    history = [version, *(old["history"] if old else [])][:keep]
+    text = json.dumps({"version": version, "tables": sorted(tables), "history": history})
+    staged = path(f"{root}/.{version}.json")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/.{version}")
+    (part,) = [f.getPath() for f in files.util().listStatus(path(f"{root}/.{version}")) if f.getPath().getName().startswith("part-")]
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark._sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files.rename(part, staged, over)
+    files.rename(staged, path(f"{root}/{MANIFEST}"), over)
+    files.delete(path(f"{root}/.{version}"), True)
+    for folder in files.util().listStatus(path(f"{root}/versions")):
+        if folder.getPath().getName() not in history:
+            files.delete(folder.getPath(), True)
+    return version
+
+
+def manifest(spark: SparkSession, root: str) -> dict | None:
+    """What is published at ``root``: version, tables and the versions kept; None before the first time."""
+    path, files = _files(spark, root)
+    if not files.util().exists(path(f"{root}/{MANIFEST}")):
+        return None
+    return json.loads(spark.read.text(f"{root}/{MANIFEST}", wholetext=True).first()[0])
+
+
+def published(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All tables of the version that is current now, from that version whatever is published later."""
+    now = manifest(spark, root)
+    if now is None:
+        raise MissingTable(f"nothing is published at {root}")
+    return {name: spark.read.json(f"{root}/versions/{now['version']}/{name}") for name in now["tables"]}
+
+
+def publish(docs: DataFrame, root: str, generated: str) -> str:
+    """Flat plans (also keyed by id, last duplicate wins), models, providers and the method description, committed as one version."""
     spark = docs.sparkSession
     plans = D.plans_of(docs).withColumn("effective_monthly_usd", effective_price(F.col("monthly_usd"), F.col("annual_usd")))
-    plans.write.mode("overwrite").json(f"{root}/plans")
     by_id = latest(plans, ["plan_id"], [F.col("provider_id").desc(), F.col("ord").desc()])
-    by_id.write.mode("overwrite").json(f"{root}/plans_by_id")
-    D.models_of(docs).write.mode("overwrite").json(f"{root}/models")
-    docs.write.mode("overwrite").json(f"{root}/providers")
     # fixed values: method description; its band texts are wider than the bands rankings use
     method = [
         (
@@ -174,7 +226,8 @@ def publish(docs: DataFrame, root: str, generated: str) -> None:
         "version string, formula string, weights map<string,double>, wmq map<string,double>, priceBands map<string,string>, "
         "rankings_methodology_version string, generated_at string"
     )
-    spark.createDataFrame(method, schema).write.mode("overwrite").json(f"{root}/methodology")
+    tables = {"plans": plans, "plans_by_id": by_id, "models": D.models_of(docs), "providers": docs, "methodology": spark.createDataFrame(method, schema)}
+    return commit_version(spark, root, tables)
 
 
 def publish_estimates(estimates: DataFrame, scores: DataFrame, path: str) -> DataFrame:
