@@ -26,6 +26,7 @@ from tollgauge.llm.outliers import let
 from tollgauge.llm.tables import row_key, stored
 from tollgauge.operators.ordering import global_rank
 
+KEY_SETTING, PUBLIC_KEY = "spark.tollgauge.surrogateKey", "surrogates"
 #: Draws of a name before its surrogates get one more syllable.
 ROUNDS = 4
 # Titles that tell a gender or none, and patterns.
@@ -35,7 +36,8 @@ NEUTRAL = "Dr|Prof"
 TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = (
-    r"[\w.+%-]*\w@\w[\w-]*(?:\.[\w-]+)*\.\p{L}{2,}",
+    # a run of local characters is tried once, from its start or from the end of the last hit; labels are bounded as in host names
+    r"(?:(?<![\w.+%-])|\G)[\w.+%-]++(?<=\w)@\w[\w-]*+(?:\.[\w-]++){0,126}\.\p{L}{2,}",
     r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b",
@@ -69,7 +71,7 @@ def kind_of(hit: Column) -> Column:
     digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
     return (
         F.when(hit.contains("@"), "email").when(hit.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip").when(hit.rlike(rf"^{TITLE}\.?[ ]\p{{Lu}}"), "person")
-        .when(hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(hit.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), "phone").when(hit.rlike(r"^[0-9 -]+$") & (digits >= 13), "card")
+        .when(hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(hit.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), "phone").when(hit.rlike(r"^[0-9 -]+$") & digits.between(13, 19), "card")
         .when(hit.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban").otherwise("secret")
     )
 
@@ -109,12 +111,13 @@ def _pick(letters: str, n: Column) -> Column:
 
 def _same_form(canon: Column, stream: Column) -> Column:
     """Digits for digits and letters for letters; hexadecimal strings stay hexadecimal."""
-    hexed, upper = canon.rlike("^[0-9a-f]{32,}$"), canon.rlike("^[0-9A-F]{32,}$")
-    char = lambda c, j: (
-        F.when(hexed, _pick(HEX, _at(stream, j, 16))).when(upper, _pick(HEX.upper(), _at(stream, j, 16))).when(c.rlike("[0-9]"), _pick(DIGITS, _at(stream, j, 10)))
+    hexed, upper = canon.rlike("^(?=[0-9]*[a-f])[0-9a-f]{32,}$"), canon.rlike("^(?=[0-9]*[A-F])[0-9A-F]{32,}$")
+    char = lambda c, j, own: (
+        F.when(own["hexed"], _pick(HEX, _at(stream, j, 16))).when(own["upper"], _pick(HEX.upper(), _at(stream, j, 16))).when(c.rlike("[0-9]"), _pick(DIGITS, _at(stream, j, 10)))
         .when(c.rlike(r"\p{Lu}"), _pick(LETTERS.upper(), _at(stream, j, 26))).when(c.rlike(r"\p{L}"), _pick(LETTERS, _at(stream, j, 26))).otherwise(c)
     )
-    return F.array_join(F.transform(F.split(canon, ""), char), "")
+    # the form is looked at once, not for every character
+    return let(F.struct(hexed.alias("hexed"), upper.alias("upper")), lambda own: F.array_join(F.transform(F.split(canon, ""), lambda c, j: char(c, j, own)), ""))
 
 
 def _check_sum(digits: Column) -> Column:
@@ -183,9 +186,13 @@ def _value(i: Column) -> Column:
     digit = lambda rest, base: F.pmod(rest, F.lit(base)).cast("int")
     step = lambda base, pick: lambda s, c: F.struct(F.floor(s["rest"] / base).cast("long").alias("rest"), F.concat(pick(s, c), s["out"]).alias("out"))
     ten, letters = step(10, lambda s, c: _pick(DIGITS, digit(s["rest"], 10))), step(26, lambda s, c: _pick(LETTERS, digit(s["rest"], 26)))
-    upper, same = step(26, lambda s, c: _pick(LETTERS.upper(), digit(s["rest"], 26))), step(1, lambda s, c: c)
-    by = lambda s, c: F.when(c == "0", ten(s, c)).when(c == "a", letters(s, c)).when(c == "A", upper(s, c)).otherwise(same(s, c))
-    body = F.aggregate(F.reverse(F.split("mask", "")), F.struct(i.cast("long").alias("rest"), F.lit("").alias("out")), by, lambda s: s["out"])
+    upper = step(26, lambda s, c: _pick(LETTERS.upper(), digit(s["rest"], 26)))
+    by = lambda s, c: F.when(c == "0", ten(s, c)).when(c == "a", letters(s, c)).otherwise(upper(s, c))
+    # only the drawn places are counted through; what stands between them is put around the result
+    drawn = F.regexp_extract_all(F.col("mask"), F.lit("[0aA]"), F.lit(0))
+    values = F.split(F.aggregate(F.reverse(drawn), F.struct(i.cast("long").alias("rest"), F.lit("").alias("out")), by, lambda s: s["out"]), "")
+    dealt = F.when(F.size(drawn) > 0, values).otherwise(F.array().cast("array<string>"))
+    body = F.array_join(F.zip_with(F.split("mask", "[0aA]", -1), dealt, lambda fixed, v: F.concat(fixed, F.coalesce(v, F.lit("")))), "")
     whole = F.concat("head", body)
     card = F.concat(whole, F.pmod(F.col("tail").try_cast("int") - _check_sum(F.concat(whole, F.lit("0"))), F.lit(10)).cast("string"))
     return F.when(F.col("kind") == "card", card).otherwise(F.concat(whole, "tail"))
@@ -255,19 +262,25 @@ def gaps_of(text: Column) -> Column:
     return F.when(text.rlike(TITLED), inner).otherwise(gaps)
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
-    """``docs`` with every detected entity in ``text`` replaced, and n_entities (mentions replaced)."""
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with every detected entity in ``text`` replaced, and n_entities (mentions replaced).
+
+    The key is the session's ``spark.tollgauge.surrogateKey`` unless one is given; the public stand-in without both protects nobody.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, PUBLIC_KEY)
     names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     own = row_key("doc_id", "text")
     found = stored(docs.where(has).select(own.alias("k"), hits_of(F.col("text")).alias("hits")).where(F.size("hits") > 0).dropDuplicates(["k"]))
     mention = found.select("k", F.posexplode("hits").alias("pos", "hit")).select("k", "pos", "hit.*")
-    part = stored(mention.where("NOT again").select("k", "pos", F.posexplode(parts_of(F.col("text"))).alias("part", "p")).select("k", "pos", "part", "p.*"))
+    part = mention.where("NOT again").select("k", "pos", F.posexplode(parts_of(F.col("text"))).alias("part", "p")).select("k", "pos", "part", "p.*")
+    # a name word is one person's in its whole document: a gender told anywhere there counts, else a given name, else its first place
+    told = F.when(F.col("kind").rlike(":[mf]$"), 0).when(F.col("kind").endswith(":n"), 1).otherwise(2)
+    called = part.where("kind LIKE 'name:%'").groupBy("k", "canon").agg(F.min(F.struct(told.alias("told"), "pos", "part", "kind")).alias("first")).select("k", "canon", F.col("first.kind").alias("called"))
+    part = part.join(called, ["k", "canon"], "left").select("k", "pos", "part", F.coalesce("called", "kind").alias("kind"), "canon", "form")
+    again = mention.where("again").select("k", "pos", F.lit(0).alias("part"), F.lower("text").alias("canon"), F.col("text").alias("form")).join(called.withColumnRenamed("called", "kind"), ["k", "canon"], "left")
+    part = stored(part.unionByName(again))
     entities = draw(stored(part.where("kind IS NOT NULL").select("kind", "canon").distinct()), key)
-    # a name word stands for what it is where its document has it first
-    called = part.where("kind LIKE 'name:%'").groupBy("k", "canon").agg(F.min(F.struct("pos", "part", "kind")).alias("first")).select("k", "canon", "first.kind")
-    again = mention.where("again").select("k", "pos", F.lit(0).alias("part"), F.lower("text").alias("canon"), F.col("text").alias("form")).join(called, ["k", "canon"], "left")
-    part = part.unionByName(again)
     fixed = part.where("kind IS NULL").select("k", "pos", "part", F.col("form").alias("text"))
     named = part.where("kind IS NOT NULL").join(entities, ["kind", "canon"]).select("k", "pos", "part", written(F.col("kind"), F.col("form"), F.col("own")).alias("text"))
     whole = named.unionByName(fixed).groupBy("k", "pos").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts")).select("k", "pos", F.array_join("parts.text", "").alias("new"))
