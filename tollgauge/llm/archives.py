@@ -35,6 +35,8 @@ from tollgauge.llm.tables import shared_folder, stored
 SKIPPABLE, ZSTD = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of archives that one task reads back.
+TASK_BYTES = 128 << 20
 
 
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:
@@ -178,7 +180,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # manifest rows are tiny, so the number of tasks is told by the archives behind them: a fixed number is not folded together at run time
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op8_warc_dictionary(pages: DataFrame) -> DataFrame:
