@@ -147,7 +147,8 @@ def pattern_hits(plain: Column, pattern: str, context: int) -> Column:
         )
         none = F.array().cast("array<struct<pos:int,raw:string>>")
         begin = lambda at: F.struct(at.alias("at"), none.alias("hits"), F.lit(False).alias("hit"))
-        return once(starts, lambda at: F.flatten(F.transform(runs, lambda c: F.aggregate(run(c), begin(F.get(at, c)), step, lambda s: s["hits"]))))
+        many = once(starts, lambda at: F.flatten(F.transform(runs, lambda c: F.aggregate(run(c), begin(F.get(at, c)), step, lambda s: s["hits"]))))
+        return F.when(F.size(pieces) <= RUN, F.aggregate(pieces, begin(F.lit(0)), step, lambda s: s["hits"])).otherwise(many)
 
     hits = once(F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK), placed)
 

@@ -10,6 +10,7 @@ from tollgauge import constants as K
 from tollgauge.functions.basics import current_model, effective_price, price_band, round_digits
 from tollgauge.functions.text import base_key, clean_name
 from tollgauge.operators.ordering import global_rank, group_rank, latest, top_overall, top_per_group
+from tollgauge.session import reused
 
 # --- curation ---------------------------------------------------------------------
 
@@ -171,13 +172,13 @@ def grid(plans: DataFrame, by: str, tier: str | None = None, max_price: float |
 
     Expects plan_id, tier, price and what the order reads: overall, benchmark_index or provider_name.
     """
-    kept = grid_filter(plans, tier, max_price)
+    kept = reused(grid_filter(plans, tier, max_price))
     if by != "provider":
         return global_rank(kept, grid_order(by), "position")
     # providers are far fewer than plans, but no bound is known: their names get positions first, plans follow them
     names = kept.select("provider_name").distinct().withColumn("__sort", F.collate("provider_name", "UNICODE").cast("string"))
     named = kept.join(global_rank(names, [F.col("__sort"), F.col("provider_name")], "__name"), "provider_name")
-    return global_rank(named, [F.col("__name"), F.col("plan_id")], "position").drop("__name", "__sort")
+    return global_rank(reused(named), [F.col("__name"), F.col("plan_id")], "position").drop("__name", "__sort")
 
 
 def catalog_groups(providers: DataFrame, categories: list[str], by: str = "index") -> DataFrame:
@@ -188,7 +189,7 @@ def catalog_groups(providers: DataFrame, categories: list[str], by: str = "index
     group = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")).cast("int")
     rows = providers.withColumn("group", group).where(F.col("group") > 0).withColumn("strength", F.coalesce("best_coding", F.lit(-1.0)))
     order = [F.col("provider_name").asc()] if by == "name" else [F.col("strength").desc()]
-    return group_rank(rows, ["group"], [*order, F.col("provider_id").asc()], "position").drop("strength")
+    return group_rank(reused(rows), ["group"], [*order, F.col("provider_id").asc()], "position").drop("strength")
 
 
 def provider_options(entries: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def provider_options(entries: DataFrame) -> DataFrame:
     Expects provider_id, provider_name and ord, the order of the entries.
     """
     last = entries.groupBy("provider_id").agg(F.max_by("provider_name", "ord").alias("provider_name"))
-    return global_rank(last, [F.col("provider_name").asc(), F.col("provider_id").asc()], "position")
+    return global_rank(reused(last), [F.col("provider_name").asc(), F.col("provider_id").asc()], "position")
 
 
 def provider_upserts(offers: DataFrame, providers: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -12,6 +12,7 @@ from tollgauge.functions import capacity as C
 from tollgauge.functions.basics import effective_price, fixed_text, number_text, round_digits, weaker
 from tollgauge.operators.normalize import TARGETS, best_limit, document_limit, normalize_limits
 from tollgauge.operators.ordering import exact_median, global_rank, latest
+from tollgauge.session import reused
 
 SCORE_COLUMNS = [
     "intelligence", "coding", "agentic", "speed", "price_in", "price_out", "cost_per_task", "observed_at", "confidence",
@@ -189,12 +190,12 @@ def score_plans(plans: DataFrame, with_notes: bool = True) -> DataFrame:
 
 def ordered_plans(scored: DataFrame) -> DataFrame:
     """All scored plans, best overall score first, with their position."""
-    return global_rank(scored, [F.col("overall").desc(), F.col("plan_id").asc()], "position")
+    return global_rank(reused(scored), [F.col("overall").desc(), F.col("plan_id").asc()], "position")
 
 
 def ordered_efficiency(models: DataFrame) -> DataFrame:
     """Rows of :func:`task_efficiency`, best composite first and those without one last, with their position."""
-    return global_rank(models, [F.col("composite").desc_nulls_last(), F.col("model_id").asc()], "position")
+    return global_rank(reused(models), [F.col("composite").desc_nulls_last(), F.col("model_id").asc()], "position")
 
 
 def task_efficiency(models: DataFrame) -> DataFrame:

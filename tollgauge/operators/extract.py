@@ -83,7 +83,7 @@ def _first_of_each(items: Column, key) -> Column:
     def kept(own: Column) -> Column:
         keyed = F.sort_array(F.transform(own, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
         first = once(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
-        return F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(own, i))
+        return F.when(F.size(own) <= 1, own).otherwise(F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(own, i)))
 
     return once(items, kept)
 

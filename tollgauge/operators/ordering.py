@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tollgauge.session import reused
+
 _PART, _RN, _BASE, _BOUNDS = "__part", "__rn", "__base", "__bounds"
 #: Ranges of a total order, and rows sampled for each splitter between them.
 RANGES, PER_RANGE = 1024, 8
@@ -155,7 +157,7 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One-row frame ``median``: middle value, or the mean of the two middle values; null when empty."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    counts = reused(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")))
     run = running_total(counts, [F.col(value)], F.col("__n"), "__upto")
     total = run.agg(F.sum("__n").alias("t"))
     t = total.scalar()
@@ -167,7 +169,7 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
 
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Distinct values of ``value`` with the share of rows at or below, 0-100. Join back on the value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    counts = reused(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")))
     run = running_total(counts, [F.col(value)], F.col("__n"), "__upto")
     total = run.agg(F.sum("__n")).scalar()
     return run.select(value, (F.col("__upto") / total * 100).alias(name))

@@ -21,6 +21,7 @@ from tollgauge.functions.basics import (
 )
 from tollgauge.operators.estimates import best_quality_per_plan, score_quality
 from tollgauge.operators.ordering import global_rank, latest, top_overall, top_per_group
+from tollgauge.session import reused
 
 
 def by_value() -> list[Column]:
@@ -155,7 +156,7 @@ def default_models(ranked: DataFrame, profiles: DataFrame, n: int = 5, least: in
 
 def ordered_models(per_model: DataFrame) -> DataFrame:
     """Models of :func:`best_plan_per_model` by quality, best first and unrated ones last, with their position."""
-    return global_rank(per_model, [F.col("wmq").desc_nulls_last(), F.col("model_id").asc()], "position")
+    return global_rank(reused(per_model), [F.col("wmq").desc_nulls_last(), F.col("model_id").asc()], "position")
 
 
 def provider_peak(rows: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def provider_peak(rows: DataFrame) -> DataFrame:
     peak = latest(
         valued, ["provider_id"], [F.col("worth").desc(), F.col("plan_id").asc(), F.col("model_id").asc()]
     ).withColumn("peak", round_digits(F.col("worth"), 2)).drop("price_band")
-    return global_rank(peak, [F.col("peak").desc(), F.col("provider_id").asc()])
+    return global_rank(reused(peak), [F.col("peak").desc(), F.col("provider_id").asc()])
 
 
 def transparency(
@@ -212,7 +213,7 @@ def transparency(
             ),
         }
     )
-    return global_rank(scored.drop("usage_rank"), [F.col("transparency").desc(), F.col("plan_id").asc()])
+    return global_rank(reused(scored.drop("usage_rank")), [F.col("transparency").desc(), F.col("plan_id").asc()])
 
 
 LONG_COLUMNS = ["ranking_type", "price_band", "rank", "provider_id", "plan_id", "model_id", "metric_value", "confidence"]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tollgauge.functions import basics as B
 from tollgauge.operators import catalog as G
 from tollgauge.operators import estimates as E
+from tollgauge.operators.ordering import group_rank
 from tollgauge.plans import rankings as R
 from tollgauge.queries import ranking as Q
 from tollgauge.queries.registry import query
 from tollgauge.queries.sql_views import AS_OF, hu_digits, num_text, sql
+from tollgauge.session import reused
 from tollgauge.sources.views import Views, as_of
 
 # Offers: one per line item. The slug carries effort words, versions and date stamps.
@@ -346,7 +347,7 @@ def unscored_models(v: Views):
 def model_table_order(v: Views):
     from tollgauge.operators.ordering import global_rank
 
-    t = v.model.select("model_id", "display_name").join(v.score.select("model_id", "coding"), "model_id", "left")
+    t = reused(v.model.select("model_id", "display_name").join(v.score.select("model_id", "coding"), "model_id", "left"))
     up = global_rank(t, G.metric_order("coding", True), "ascending")
     down = global_rank(t.select("model_id", "coding"), G.metric_order("coding", False), "descending").select("model_id", "descending")
     return up.join(down, "model_id").select("model_id", "display_name", "coding", "ascending", "descending")
@@ -495,5 +496,5 @@ def provider_catalog_order(v: Views):
     """Providers per category by their best coding index."""
     best = v.model.join(v.score.select("model_id", "coding"), "model_id").groupBy("provider_id").agg(F.max("coding").alias("b"))
     j = v.provider.join(best, "provider_id", "left").withColumn("strength", F.coalesce("b", F.lit(-1.0)))
-    ranked = j.withColumn("position", F.row_number().over(Window.partitionBy("category").orderBy(F.col("strength").desc(), F.col("provider_id").asc())))
+    ranked = group_rank(reused(j), ["category"], [F.col("strength").desc(), F.col("provider_id").asc()], "position")
     return ranked.select("category", "provider_id", F.col("position").cast("bigint").alias("position"), as_of().alias("as_of"))

@@ -1,7 +1,8 @@
-"""Session defaults and durable cut points."""
+"""Session defaults, durable cut points and frames read more than once."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +43,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """A costly frame that one plan reads several times: the first job that needs it keeps it on the executors' disks.
+
+    Nothing runs here, and what is lost with an executor is computed again from its lineage.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a small scan enough partitions for CPU-heavy row work; a scan with enough splits is left alone.
 
