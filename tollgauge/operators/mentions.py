@@ -24,6 +24,7 @@ from tollgauge.operators.extract import exploded
 # A match that starts and ends at a word boundary always covers whole word / non-word segments, so
 # a name can only sit where the same consecutive segments spell it out.
 _SEGMENT = re.compile("[A-Za-z0-9_]+|[^A-Za-z0-9_]+")
+_EDGE = re.compile("[A-Za-z0-9_]")
 # The Kelvin sign and the dotted capital I are the only letters whose lower form has an ASCII letter in it. They are put out of the
 # way first, so lower-case text is cut at the same places as the text itself; both lower forms of sigma are one letter.
 _FOLD = {0x212A: 0xE000, 0x130: 0xE001}
@@ -58,11 +59,14 @@ class Trie:
         low = folded(text)
         cuts = [m.start() for m in _SEGMENT.finditer(low)] + [len(low)]
         first = self.root[0]
-        for i in range(len(cuts) - 1):
+        # the edge of a text is a boundary only beside a word character
+        begin, end = (bool(low) and _EDGE.match(low[at]) is not None for at in (0, -1))
+        for i in range(0 if begin else 1, len(cuts) - 1):
             node, j = first.get(low[cuts[i] : cuts[i + 1]]), i + 1
             while node is not None:
-                for name in node[1]:
-                    yield cuts[i], cuts[j], name
+                if end or j + 1 < len(cuts):
+                    for name in node[1]:
+                        yield cuts[i], cuts[j], name
                 if j + 1 >= len(cuts) or not node[0]:
                     break
                 node, j = node[0].get(low[cuts[j] : cuts[j + 1]]), j + 1
