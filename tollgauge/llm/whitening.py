@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -57,9 +58,9 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def block_matrix(rows: DataFrame, vector: str) -> BlockMatrix:
-    """Row blocks from columns ``i`` and ``vector`` (array of doubles)."""
+    """Row blocks from columns ``i`` and ``vector`` (array of doubles), kept on the executors for the products that read them."""
     frame = rows.select(F.col("i").alias("index"), array_to_vector(vector).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(frame, "vector")).toBlockMatrix(SIDE, SIDE)
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(frame, "vector")).toBlockMatrix(SIDE, SIDE).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(a: BlockMatrix) -> np.ndarray:
