@@ -102,3 +102,33 @@ def test_results_do_not_depend_on_partitioning(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     assert rows(q(spark, DATA)) == first
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_representative_and_rank_inside_a_hot_plan(spark):
+    from tollgauge.operators import estimates as E
+
+    data = [("hot" if i % 3 else f"p{i % 40}", f"m{i}", [None, 1.0, 2.0, 7.5][i * 7 % 4], i) for i in range(3000)]
+    df = spark.createDataFrame(data, "plan_id string, model_id string, wmq double, ord int")
+    want, by_plan = {}, {}
+    for p, m, q, o in data:
+        by_plan.setdefault(p, []).append((q is None, -(q or 0), o, m))
+    for p, members in by_plan.items():
+        for n, (*_, m) in enumerate(sorted(members), 1):
+            want[p, m] = n
+    ranked = E.ranked(df)
+    assert {(r.plan_id, r.model_id): r.rep_rank for r in ranked.collect()} == want
+    assert {(r.plan_id, r.model_id) for r in E.representative(df).collect()} == {k for k, n in want.items() if n == 1}
+    assert "WindowGroupLimit" in E.representative(df)._jdf.queryExecution().executedPlan().toString()
+    assert E.ranked(df.limit(0)).count() == E.representative(df.limit(0)).count() == 0
+
+
+def test_report_joins_nothing(spark):
+    limits = spark.createDataFrame([("p", "fair-use"), ("q", "unlimited")], "plan_id string, limit_type string")
+    plans = spark.createDataFrame([("y", "y", "pro", None)], "plan_id string, provider_id string, tier string, monthly_usd double")
+    providers = spark.createDataFrame([("y", None)], "provider_id string, pricing_url string")
+    issues = QC.banned_limits(limits).unionByName(QC.plans_without_price(plans, providers))
+    shown = QC.report(issues)
+    assert rows(shown, "check_id") == rows(QC.banned_limits(limits), "check_id")
+    assert QC.report(issues.limit(0)).count() == 0
+    assert QC.report(issues, verbose=True).count() == 3
+    assert "Join" not in QC.report(QC.banned_limits(limits))._jdf.queryExecution().optimizedPlan().toString()

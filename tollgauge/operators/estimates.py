@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollgauge import constants as K
@@ -11,7 +10,7 @@ from tollgauge.constants import NormalizationConfig
 from tollgauge.functions import capacity as C
 from tollgauge.functions.basics import effective_price, fixed_text, number_text, round_digits, weaker
 from tollgauge.operators.normalize import TARGETS, best_limit, document_limit, normalize_limits
-from tollgauge.operators.ordering import exact_median, global_rank, latest
+from tollgauge.operators.ordering import exact_median, global_rank, group_rank, latest
 from tollgauge.session import reused
 
 SCORE_COLUMNS = [
@@ -55,7 +54,7 @@ def plan_estimates(
     limit_order: tuple[str, ...],
     cfg: NormalizationConfig | None = None,
 ) -> DataFrame:
-    """Estimate rows of every plan and usable model, ranked by quality inside the plan (``rep_rank``).
+    """Estimate rows of every plan and usable model; :func:`representative` and :func:`ranked` order them inside the plan.
 
     Limits shrink to one row per plan before they meet the model references, and scores to one row per
     model, so the only fan-out is the plan-model pairs themselves.
@@ -94,11 +93,21 @@ def plan_estimates(
             "notes": estimate_notes(F.col("best_type")),
         }
     )
-    # models per plan: bounded by the catalog, so this window never sees more rows than one plan offers
-    by_quality = W.partitionBy("plan_id").orderBy(F.col("wmq").desc_nulls_last(), F.col("ord").asc())
-    return est.withColumn("rep_rank", F.row_number().over(by_quality)).drop(
-        "scored", "wmq_confidence", "usage_confidence", "agentic", "coding", "speed", "price_in", "price_out", "median_cost"
-    )
+    return est.drop("scored", "wmq_confidence", "usage_confidence", "agentic", "coding", "speed", "price_in", "price_out", "median_cost")
+
+
+def _by_quality() -> list[Column]:
+    return [F.col("wmq").desc_nulls_last(), F.col("ord").asc()]
+
+
+def representative(estimates: DataFrame) -> DataFrame:
+    """The estimate of best quality per plan; every task keeps one row per plan before the shuffle, whatever the plan's share of pairs."""
+    return latest(estimates, ["plan_id"], _by_quality())
+
+
+def ranked(estimates: DataFrame) -> DataFrame:
+    """Adds ``rep_rank``, the place by quality inside the plan. A plan with a large share of the pairs is spread over ranges of the order."""
+    return group_rank(reused(estimates), ["plan_id"], _by_quality(), "rep_rank")
 
 
 def estimate_notes(limit_type: Column) -> Column:

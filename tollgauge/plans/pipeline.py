@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tollgauge import constants as K
 from tollgauge.constants import NormalizationConfig
-from tollgauge.operators.estimates import plan_estimates
+from tollgauge.operators.estimates import plan_estimates, representative
 from tollgauge.operators.ordering import latest
 from tollgauge.plans import rankings as R
 from tollgauge.session import durable
@@ -35,7 +35,7 @@ def all_rankings(
     per_model = latest(
         rows.where(F.col("price_band").isin(K.PRICE_BANDS) & F.col("value_score").isNotNull()), ["model_id", "price_band"], R.by_value()
     ).select("model_id", "price_band", "plan_id", F.lit(1).alias("rank"), "value_score")
-    rep = estimates.where(F.col("rep_rank") == 1).select("plan_id", "model_id")
+    rep = representative(estimates).select("plan_id", "model_id")
     parts = [
         R.long_form(R.value_by_band(rows), "value", "value_score"),
         R.long_form(R.quality_by_band(plans, plan_models, scores), "quality", "wmq"),

@@ -174,7 +174,7 @@ def provider_peak(rows: DataFrame) -> DataFrame:
 def transparency(
     plans: DataFrame, representative: DataFrame, scores: DataFrame, limits: DataFrame, as_of: Column
 ) -> DataFrame:
-    """All plans by data transparency. ``representative`` holds plan_id, model_id of the rep_rank-1 estimate."""
+    """All plans by data transparency. ``representative`` holds plan_id, model_id of its plan's best estimate."""
     counted = limits.where((F.col("limit_type") != "unknown") | F.col("limit_value").isNotNull())
     usage = counted.groupBy("plan_id").agg(
         F.min(

@@ -200,7 +200,7 @@ def plan_filters(v: Views):
     ),
 )
 def compare_by_confidence(v: Views):
-    best = Q.estimates(v).where(F.col("rep_rank") == 1).select("plan_id", "confidence")
+    best = E.representative(Q.estimates(v)).select("plan_id", "confidence")
     joined = v.scoped_plan.select("plan_id").join(best, "plan_id", "left")
     return G.compare_filter(joined, confidence="unknown").select("plan_id", F.coalesce("confidence", F.lit("unknown")).alias("confidence"))
 

@@ -81,7 +81,7 @@ def efficiency_multiplier(v: Views):
     ),
 )
 def plan_model_estimates(v: Views):
-    return estimates(v).select(
+    return E.ranked(estimates(v)).select(
         "plan_id", "model_id", "price", "best_type", "best_value", "tokens_5h", "tokens_24h", "tokens_1w", "tokens_1mo", "wmq",
         "cost_per_task", "efficiency", "confidence", "quality_adjusted_1mo", "quality_adjusted_5h", "value_score",
         F.col("rep_rank").cast("bigint").alias("rep_rank"),
@@ -201,7 +201,7 @@ _TRANSPARENCY = "plan_id, plan_name, provider_id, uncertainty, transparency, sco
 
 
 def _transparency(v: Views):
-    rep = estimates(v).where(F.col("rep_rank") == 1).select("plan_id", "model_id")
+    rep = E.representative(estimates(v)).select("plan_id", "model_id")
     return R.transparency(v.scoped_plan, rep, v.score, v.limit, as_of())
 
 
@@ -463,5 +463,5 @@ def radar_default_models(v: Views):
     ),
 )
 def scored_plans_best_estimate(v: Views):
-    best = estimates(v).where(F.col("rep_rank") == 1).select("plan_id", "model_id", "value_score", "confidence")
+    best = E.representative(estimates(v)).select("plan_id", "model_id", "value_score", "confidence")
     return v.scoped_plan.select("plan_id").join(best, "plan_id", "left")
