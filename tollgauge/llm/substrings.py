@@ -3,14 +3,14 @@
 A difference cover D modulo v has, for any two positions i and j, an offset d < v with (i + d) mod v and (j + d) mod v both in D.
 So two equal passages of ``window`` words hold an equal run of ``window - v + 1`` words that starts at a cover position in *both*
 documents. Only runs at cover positions are hashed and matched between documents; each repeated one extends to the windows that hold
-it, and these windows are matched by 96 bits of hash over all their words.
+it, and these windows are matched by 96 bits made from one 64-bit hash per word, so words are told apart by 64 bits.
 
 Matching runs over bounded pieces of hash space. A hash that repeats inside one batch is settled there and reaches its piece as one
 marker, so a passage in a third of all documents never gathers in one task. Texts are shuffled once, by row key; both joins use that
 exchange.
 
 Defined cases: null and blank texts have no words; rows that repeat (same id and text, or same text) are copies of one another, so all
-their windows repeat; null ids are kept; columns beside ``doc_id`` and ``text`` are ignored; texts may have any length.
+their windows repeat, and the places found in rows of equal id and text are kept once for all of them; null ids are kept; columns beside ``doc_id`` and ``text`` are ignored; texts may have any length.
 """
 
 from __future__ import annotations
@@ -66,6 +66,14 @@ def _packed(k: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
     return {"k": k[first], "n": np.diff(np.append(first, len(k))), "p": np.diff(p, prepend=0)}
 
 
+def _distinct(k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row key, position) pairs in order; repeated rows, which share a key, bring the same pairs again."""
+    order = np.lexsort((p, k))
+    k, p = k[order], p[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]))) if len(k) else np.zeros(0, bool)
+    return k[new], p[new]
+
+
 def _settle(h: np.ndarray, g: np.ndarray, k: np.ndarray, p: np.ndarray, parts: int, spread: int) -> Iterator[pa.RecordBatch]:
     """Deal one batch's hashes to their pieces; those found twice here go on as settled places and one marker each."""
     if not len(h):
@@ -77,7 +85,7 @@ def _settle(h: np.ndarray, g: np.ndarray, k: np.ndarray, p: np.ndarray, parts: i
     again = np.zeros(len(h), bool)
     again[order] = np.repeat(size > 1, size)
     if again.any():
-        yield _row(parts + spread % parts, **_packed(k[again], p[again]))
+        yield _row(parts + spread % parts, **_packed(*_distinct(k[again], p[again])))
     marks = first[size > 1]
     mh, mg = hs[marks], gs[marks]
     h, g, k, p = h[~again], g[~again], k[~again], p[~again]
@@ -118,8 +126,9 @@ def _matched(parts: int, homes: int):
                     marked[order] = np.repeat(np.maximum.reduceat(order >= len(flat["h"]), first), size)
                 keep = (keep | marked)[: len(flat["h"])]
                 k, p = k[keep], p[keep]
+            k, p = _distinct(k, p)
             home = (k.view(np.uint64) % np.uint64(homes)).astype(np.int64)
-            order = np.lexsort((k, home))
+            order = np.argsort(home, kind="stable")
             cut = np.searchsorted(home[order], np.arange(homes + 1))
             for x in np.flatnonzero(np.diff(cut)):
                 own = order[cut[x] : cut[x + 1]]
@@ -132,8 +141,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All places of a row key as one list."""
     for t in by_key(batches, "piece"):
         _, k, p = _unpacked(t)
-        order = np.argsort(k, kind="stable")
-        k, p = k[order], p[order]
+        k, p = _distinct(k, p)
         first = _runs(k)
         yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(k)), pa.int32()), pa.array(p, pa.int32()))], schema=PLACES)
 
