@@ -129,7 +129,7 @@ def _cells(n: int, threshold: float, tolerance: float):
         out: dict[str, list] = {"node": [], "root": [], "links": []}
         for t in by_key(batches, "cell"):
             node = t.column("node").to_numpy()
-            _, once = np.unique(node, return_index=True)  # repeated rows bring a node more than once
+            _, once = np.unique(node, return_index=True)
             side = t.column("side").to_numpy()[once]
             once = once[np.argsort(side, kind="stable")]
             node, side, copies = node[once], np.sort(side), t.column("copies").to_numpy()[once]
@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     own = F.pmod(F.xxhash64("node"), blocks)
     member = proposed.join(buckets, ["band", "key"]).groupBy("node").agg(F.collect_list(F.struct("band", "key", blocks.alias("blocks"), own.alias("own"))).alias("member"))  # one per band at most
     carried = nodes.select("node", "copies", "k", "sketch").join(member, "node")
-    dealt = keyed.select("k", "text").join(carried, "k").select("node", "copies", "sketch", "text", F.explode("member").alias("m"))
+    texts = keyed.select("k", "text").dropDuplicates(["k"])  # rows of equal id and text travel once
+    dealt = texts.join(carried, "k").select("node", "copies", "sketch", "text", F.explode("member").alias("m"))
     dealt = dealt.select("node", "copies", "sketch", "text", "m.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m.blocks") - 1)).alias("other"))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select("node", "copies", "sketch", "text", "band", cell.alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
