@@ -13,14 +13,18 @@ from tollgauge.llm.words import mix, slices, text_buffer, window_hashes, word_ha
 
 U = np.uint64
 SLICE = 1 << 19
+#: Dense rows held at once: short texts fill no slice of bytes.
+SLICE_ROWS = 256
 Featurizer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def rows_of(column: pa.Array, features: Featurizer) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, end row, matrix) over a text column."""
+    """(first row, end row, matrix) over a text column, of at most ``SLICE_ROWS`` rows and ``SLICE`` bytes or one row."""
     offsets, data = text_buffer(column)
-    for i, j in slices(offsets, SLICE):
-        yield i, j, features(offsets[i : j + 1], data)
+    for low, high in slices(offsets, SLICE):
+        for i in range(low, high, SLICE_ROWS):
+            j = min(high, i + SLICE_ROWS)
+            yield i, j, features(offsets[i : j + 1], data)
 
 
 def gram_counts(byte: np.ndarray, row: np.ndarray, rows: int, n: int, size: int) -> np.ndarray:
