@@ -391,3 +391,31 @@ def test_pipeline(spark):
         ids[name] = Counter(r.doc_id for r in docs.collect())
         assert set(ids[name]) <= set(r.doc_id for r in before.select("doc_id").collect())
     assert set(ids["near_duplicates"].values()) == {1} and ids["pii"] == ids["near_duplicates"] and ids["pieces"] == ids["mixture"] and max(ids["mixture"].values()) <= 3
+
+
+def test_short_texts_are_read_in_bounded_slices():
+    import pyarrow as pa
+
+    sizes = []
+    for i, j, x in features.rows_of(pa.array(["ab cd"] * 1000 + [None] + ["z" * features.SLICE * 2] + ["q"] * 300), features.language_features):
+        sizes.append((i, j))
+        assert j - i <= features.SLICE_ROWS and len(x) == j - i
+    assert sizes[0][0] == 0 and sizes[-1][1] == 1302 and all(a[1] == b[0] for a, b in zip(sizes, sizes[1:]))
+    assert not list(features.rows_of(pa.array([], pa.string()), features.quality_features))
+
+
+def test_places_of_repeated_rows_are_kept_once(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(None, words)] * 3000 + [(1, "a b c"), (2, words + " tail")], "doc_id long, text string")
+    got = substrings.remove_repeats(frame)
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()} == {(None, 60, 60, ""), (1, 3, 0, "a b c"), (2, 61, 60, "tail")}
+    assert got.count() == 3002
+    k, p = substrings._distinct(np.array([2, 1, 2, 2, 1]), np.array([5, 3, 5, 4, 3]))
+    assert k.tolist() == [1, 2, 2] and p.tolist() == [3, 4, 5]
+
+
+def test_repeated_rows_travel_once_to_the_cells(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(None, words)] * 2000 + [(1, words + " x"), (2, "other words here")], "doc_id long, text string")
+    out = {(r.doc_id, r.class_id, r.n_links) for r in jaccard.op5_ngram_jaccard(frame).collect()}
+    assert out == {(None, 1, 2000), (1, 1, 2000), (2, 2, 0)}

@@ -18,8 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a session without that setting (tests) gets one beside its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/../llm-scratch"
+    """A new folder under ``spark.checkpoint.dir``; only a local session without that setting (tests) gets one beside its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/../llm-scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
