@@ -3,7 +3,10 @@
 import datetime as dt
 import random
 import time
+from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,32 @@ def test_broken_pages_count_as_errors_and_the_run_goes_on(spark):
     run = process_pages(pages, empty, spark.createDataFrame([(1, "Acme", 1)], "model_id bigint, display_name string, ord bigint"))
     assert run.counters == {"processed": 3, "skipped": 2, "errors": 2, "changed": 1, "prices": 1, "limits": 0, "mentions": 1}
     assert [r.page_key for r in run.snapshots.collect()] == ["k0"] and run.prices.count() == 1
+
+
+@pytest.mark.parametrize("limit", [M.TRIE_BYTES, 40])
+def test_places_leave_a_task_in_small_batches(spark, limit, monkeypatch):
+    """A task holds the hits of some texts at most, whatever an Arrow batch holds; every place still comes."""
+    rows = list(enumerate(texts_of(3, 60)))
+    docs = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    want = sorted((k, n[0], a, text[a:b]) for k, text in rows for a, b, n in M.Trie([(m, n, m) for m, n in NAMES]).places(text))
+    found = M.candidates(docs, frame(spark, NAMES), "k", "text", trie_bytes=limit)
+    assert sorted((r.k, r.model_id, r.pos, r.raw) for r in found.collect()) == want and len(want) > 300
+
+    monkeypatch.setattr(M, "PLACE_ROWS", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["k", "text"])
+    names = SimpleNamespace(value=[(m, n, m) for m, n in NAMES])
+    parts = list(M._place_rows(names, ["k", "model_id", "display_name", "ord", "pos", "raw"])(iter([batch])))
+    assert max(p.num_rows for p in parts) == 7 and sum(p.num_rows for p in parts) == len(want)
+    texts = batch.column(1)
+    slices = list(M._slices(texts, pa.compute.binary_length(texts), 300))
+    assert pa.concat_arrays(slices) == texts and all(len(s) == 1 or sum(len(t.as_py().encode()) for t in s) <= 300 for s in slices)
+
+
+def test_claims_keep_one_name_of_a_spelling():
+    """Names of one spelling claim the same places, so claims look for the first of them only."""
+    names = [(i, n, (i * 7) % 50) for i, n in enumerate(["a b", "a", "A", "b a b"] * 12)]
+    for text in texts_of(8, 40):
+        want = M._taken(list(M.Trie(names).places(text)))
+        few = list(M.Trie(names, claims=True).places(text))
+        assert M._taken(list(few)) == want and len(few) <= 3 * len(text)
+    assert len(list(M.Trie(names, claims=True).places("a"))) == 1
