@@ -280,3 +280,25 @@ def test_ingest_drops_replays(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(out).count() == 50
+
+
+def test_page_run_keeps_compressed_columns_and_hashes_stay_behind_the_join(spark):
+    """Reads of one table touch its columns only, no hash travels with a body, and stored hashes of any form compare as before."""
+    import hashlib
+
+    from tollgauge.operators.history import changed_now
+
+    bodies = ["a", "b", "c", "d", "e"]
+    hashes = [hashlib.sha256(b.encode()).hexdigest() for b in bodies]
+    stored = [hashes[0], hashes[1].upper(), None, hashes[3] + "\n", hashes[0]]
+    when = dt.datetime(2026, 6, 1)
+    pages = spark.createDataFrame([(f"k{i}", "p", f"u{i}", "pricing", b, when, True) for i, b in enumerate(bodies)], "page_key string, provider_id string, source_url string, page_type string, html string, observed_at timestamp_ntz, allowed boolean")
+    history = spark.createDataFrame([("p", f"u{i}", when - dt.timedelta(1), 1, h) for i, h in enumerate(stored)], "provider_id string, source_url string, observed_at timestamp_ntz, snapshot_id int, content_hash string")
+    old = changed_now(pages.withColumn("content_hash", F.sha2("html", 256)), history)
+    new = changed_now(pages, history, F.sha2("html", 256))
+    assert rows(new, "page_key", "content_hash", "changed") == rows(old, "page_key", "content_hash", "changed")
+    assert [r[0] for r in rows(new, "changed", "page_key")] == [False, True, True, True, True]
+    run = process_pages(pages, history, spark.createDataFrame([(1, "Acme", 1)], "model_id bigint, display_name string, ord bigint"))
+    plan = run.snapshots.select("page_key", "content_hash")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "prices" not in plan
+    assert [r.extracted_text for r in run.snapshots.orderBy("page_key").collect()] == [None, "b", "c", "d", "e"]

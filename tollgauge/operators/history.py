@@ -35,13 +35,24 @@ def content_changes(snapshots: DataFrame) -> DataFrame:
     return prev.withColumn("changed", changed)
 
 
-def changed_now(incoming: DataFrame, history: DataFrame) -> DataFrame:
-    """Incoming pages whose hash differs from the newest stored one."""
-    stored = latest_snapshot(history, PAGE).select(*PAGE, F.col("content_hash").alias("stored_hash"), F.lit(True).alias("known"))
+def changed_now(incoming: DataFrame, history: DataFrame, content_hash: Column | None = None) -> DataFrame:
+    """Incoming pages whose hash differs from the newest stored one.
+
+    With ``content_hash``, the lower-case hex SHA-256 of a body, the hash is made beside the stored one: it does not travel with
+    the body, and the stored one travels as bytes.
+    """
+    newest = latest_snapshot(history, PAGE)
+    if content_hash is None:
+        own, stored_hash = F.col("content_hash"), F.col("content_hash")
+    else:
+        own = F.unhex("content_hash")
+        # a stored hash of another form equals none
+        stored_hash = F.when(F.col("content_hash").rlike("^[0-9a-f]{64}\\z"), F.unhex("content_hash"))
+    stored = newest.select(*PAGE, stored_hash.alias("stored_hash"), F.lit(True).alias("known"))
     joined = incoming.join(stored, PAGE, "left")
-    return joined.withColumn(
-        "changed", F.col("known").isNull() | ~F.col("content_hash").eqNullSafe(F.col("stored_hash"))
-    ).drop("known", "stored_hash")
+    if content_hash is not None:
+        joined = joined.withColumn("content_hash", content_hash)
+    return joined.withColumn("changed", F.col("known").isNull() | ~own.eqNullSafe(F.col("stored_hash"))).drop("known", "stored_hash")
 
 
 def price_moves(current: DataFrame, baseline: DataFrame, threshold: float = 0.2) -> DataFrame:

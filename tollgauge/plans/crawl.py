@@ -11,7 +11,7 @@ from tollgauge.functions.text import content_hash, readable_text
 from tollgauge.operators import extract as X
 from tollgauge.operators.history import PAGE, changed_now
 from tollgauge.operators.mentions import hits, mention_rows
-from tollgauge.session import durable
+from tollgauge.session import filed
 
 
 @dataclass
@@ -42,8 +42,8 @@ def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force:
     watched = pages.withColumns({"__broken": broken, "allowed": allowed}).observe(
         seen, F.count_if("allowed").alias("processed"), F.count_if(~F.col("allowed")).alias("skipped"), F.count_if(F.col("allowed") & F.col("__broken")).alias("errors")
     )
-    fetched = watched.where(F.col("allowed") & ~F.col("__broken")).drop("__broken").withColumn("content_hash", content_hash(F.col("html")))
-    compared = changed_now(fetched, history)
+    fetched = watched.where(F.col("allowed") & ~F.col("__broken")).drop("__broken")
+    compared = changed_now(fetched, history, content_hash(F.col("html")))
     if force:
         compared = compared.withColumn("changed", F.lit(True))
     text = F.when(F.col("changed"), readable_text(F.col("html")))
@@ -51,7 +51,7 @@ def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force:
     disclosed = F.when(F.col("page_type").isin("pricing", "docs"), F.col("text"))
     extracted = extracted.withColumn("mentions", hits(names, disclosed))
     size = lambda c: F.coalesce(F.sum(F.when(F.col("changed"), F.size(c))), F.lit(0)).alias(c)
-    extracted = durable(extracted.observe(done, F.count_if("changed").alias("changed"), size("prices"), size("limits"), size("mentions")))
+    extracted = filed(extracted.observe(done, F.count_if("changed").alias("changed"), size("prices"), size("limits"), size("mentions")))
     counters = {**seen.get, **done.get}
 
     changed = F.col("changed")

@@ -299,7 +299,9 @@ _CORPUS = """SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/'
 
 def corpus(v: Views):
     """(pages, stored snapshots) built from offer texts."""
-    o = v.offer_text.withColumn("page_key", F.concat_ws("/", *KEYS, "text"))
+    keyed = v.offer_text.select(F.concat_ws("/", *KEYS, "text").alias("page_key"), F.struct("l_linenumber", "l_partkey", "text").alias("x"))
+    # pages and their history read one exchange of distinct pages; hashes and page bodies are made behind it
+    o = keyed.groupBy("page_key").agg(F.first("x").alias("x")).select("page_key", "x.*")
     kind = F.when(F.col("l_linenumber") <= 3, "pricing").when(F.col("l_linenumber") <= 5, "docs").otherwise("models")
     pages = o.select(
         "page_key", F.col("l_partkey").alias("provider_id"), F.col("page_key").alias("source_url"), kind.alias("page_type"),
@@ -310,7 +312,7 @@ def corpus(v: Views):
         "provider_id", "source_url", F.lit("2001-08-01").cast("timestamp_ntz").alias("observed_at"), F.lit(1).alias("snapshot_id"),
         F.sha2("html", 256).alias("content_hash"),
     )
-    return pages.dropDuplicates(["page_key"]), stored.dropDuplicates(["source_url"])
+    return pages, stored
 
 
 def names(spark):
