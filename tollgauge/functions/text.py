@@ -28,6 +28,11 @@ def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
+def trim_short(t: Column) -> Column:
+    """``trim_space`` for hits: one that starts and ends with a visible ASCII character is trimmed already."""
+    return F.when(t.rlike(r"^[!-~](?s:.*[!-~])?\z"), t).otherwise(trim_space(t))
+
+
 def without_noise(html: Column) -> Column:
     """Drop script-like blocks and comments."""
     blocks = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|nav|footer)(?![A-Za-z0-9_])[^>]*>.*?</\1>", "")
@@ -69,8 +74,12 @@ def clean_name(name: Column) -> Column:
 
 
 def reset_window_code(word: Column) -> Column:
-    w = F.lower(trim_space(word))
-    return lookup(K.RESET_WORDS, w, w)
+    return reset_code(F.lower(trim_short(word)))
+
+
+def reset_code(word: Column) -> Column:
+    """Code of a trimmed word in small letters."""
+    return lookup(K.RESET_WORDS, word, word)
 
 
 def price_per_month(amount: Column, interval: Column) -> Column:
@@ -155,7 +164,8 @@ def pattern_hits(plain: Column, pattern: str, context: int) -> Column:
     def with_context(h: Column) -> Column:
         left = F.greatest(h["pos"] - context, F.lit(0))
         width = h["pos"] - left + F.length(h["raw"]) + context
-        around = squeeze(F.substr(plain, left + 1, width))
+        # only ASCII and single blanks: nothing to squeeze, and the wide white-space class is slow
+        around = once(F.substr(plain, left + 1, width), lambda t: F.when(t.rlike("[^ -~]|  "), squeeze(t)).otherwise(F.trim(t)))
         return F.struct(h["pos"].alias("pos"), h["raw"].alias("raw"), around.alias("context"))
 
     return F.when(plain.rlike(pattern), F.transform(hits, with_context)).otherwise(

@@ -21,7 +21,8 @@ from tollgauge.functions.text import (
     pattern_confidence,
     pattern_hits,
     price_per_month,
-    reset_window_code,
+    reset_code,
+    trim_short,
     trim_space,
 )
 
@@ -106,7 +107,7 @@ def prices(text: Column) -> Column:
 
 
 def _limit_key(raw: Column) -> Column:
-    return trim_space(F.lower(raw))
+    return trim_short(F.lower(raw))
 
 
 def limits(text: Column) -> Column:
@@ -123,20 +124,29 @@ def _limit_of(kind: str, pattern: str, value_g: int | None, unit_g: int | None,
     """Function from a hit of one pattern class to its limit struct."""
     exactness = kind if kind in ("relative", "vague") else "fuzzy"
 
-    def describe(h: Column) -> Column:
-        def group(g: int | None) -> Column:
-            got = F.lit(None).cast("string") if g is None else F.regexp_extract(h["raw"], pattern, g)
-            return F.nullif(got, F.lit(""))
+    def found(h: Column, g: int | None) -> Column:
+        return F.lit(None).cast("string") if g is None else F.regexp_extract(h["raw"], pattern, g)
 
-        number = F.replace(group(value_g), F.lit(","), F.lit("")).cast("double")
+    def describe(h: Column) -> Column:
         observed = kind in ("hard_numeric", "credits")
-        return F.struct(
-            h["pos"].alias("pos"), h["raw"].alias("raw"), F.lit(kind).alias("kind"),
-            F.when(number != 0, number).alias("value"), group(unit_g).alias("unit"),
-            reset_window_code(group(window_g)).alias("reset_window"),
-            (F.lit("observed") if observed else pattern_confidence(F.lit(exactness), h["context"])).alias("confidence"),
-            F.lit(kind == "relative").alias("needs_normalization"), F.left(h["context"], F.lit(200)).alias("context"),
-        )
+
+        def limit(g: Column) -> Column:
+            group = lambda name: F.nullif(g[name], F.lit(""))
+            return F.struct(
+                h["pos"].alias("pos"), h["raw"].alias("raw"), F.lit(kind).alias("kind"),
+                F.when(g["number"] != 0, g["number"]).alias("value"), group("unit").alias("unit"),
+                g["window"].alias("reset_window"),
+                (F.lit("observed") if observed else pattern_confidence(F.lit(exactness), h["context"])).alias("confidence"),
+                F.lit(kind == "relative").alias("needs_normalization"), F.left(h["context"], F.lit(200)).alias("context"),
+            )
+
+        def value(raw: Column) -> Column:
+            return F.replace(F.nullif(raw, F.lit("")), F.lit(","), F.lit("")).cast("double")
+
+        # each group is searched once, however often its value is read
+        number = F.lit(None).cast("double") if value_g is None else once(found(h, value_g), value)
+        window = F.lit(None).cast("string") if window_g is None else once(once(found(h, window_g), lambda w: F.lower(trim_short(F.nullif(w, F.lit(""))))), reset_code)
+        return once(F.struct(number.alias("number"), found(h, unit_g).alias("unit"), window.alias("window")), limit)
 
     return describe
 
