@@ -5,8 +5,8 @@ a window around its own value in every array; a vector collides where it lies in
 ``share`` of the arrays are verified by their exact distance. Windows widen step by step (virtual rehashing: the arrays stay, the radius
 grows) until the ``k`` best verified vectors lie within the radius. Nothing caps the candidates: at the widest window all are verified.
 
-Queries meet blocks in cells of one block of each, so a task holds one cell. Each cell returns its ``k`` nearest, ties included by
-smaller id, and the nearest over all cells follow.
+Queries meet blocks in cells of one block of each. A task makes a cell's arrays once and then takes its queries batch by batch. Each
+cell returns a query's ``k`` nearest, ties included by smaller id, and the nearest over all cells follow.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite parts, and rows without an id, take no part; vectors of
 different length never meet; repeated rows are candidates of their own, but a query's id is asked once, with its smallest vector; equal
@@ -22,59 +22,90 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgauge.llm.tables import by_key
-
 
 class Block:
-    """Sorted projections of one block."""
+    """Sorted projections of one block, and the place of every vector in each of them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int):
+        n = len(ids)
         self.ids, self.x = ids, x
+        self.squares = (x * x).sum(1)
         lines = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], projections))
         self.lines = lines
         h = (x @ lines).T
-        self.order = np.argsort(h, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(h, self.order, 1)
-
-    def nearest(self, own: int, q: np.ndarray, k: int, share: float, widen: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the ``k`` nearest found; the query's own id is left out."""
-        n, m = len(self.ids), len(self.sorted)
-        at = q @ self.lines
-        pos = np.array([np.searchsorted(self.sorted[i], at[i]) for i in range(m)])
-        low, high = pos.copy(), pos.copy()
-        hits, seen = np.zeros(n, np.int64), self.ids == own
-        found, away = [], []
-        part = max(0.02, 2 * k / n)
-        while True:
-            width = max(1, int(part * n / 2))
-            left = self.sorted[np.arange(m), np.maximum(pos - width, 0)]
-            right = self.sorted[np.arange(m), np.minimum(pos + width, n - 1)]
-            radius = float(np.median(np.maximum(at - left, right - at))) if part < 1 else np.inf
-            fresh = []
-            for i in range(m):
-                a, b = np.searchsorted(self.sorted[i], at[i] - radius, "left"), np.searchsorted(self.sorted[i], at[i] + radius, "right")
-                if a < low[i]:
-                    fresh.append(self.order[i, a : low[i]])
-                    low[i] = a
-                if b > high[i]:
-                    fresh.append(self.order[i, high[i] : b])
-                    high[i] = b
-            if fresh:
-                hits += np.bincount(np.concatenate(fresh), minlength=n)
-            check = np.flatnonzero((hits >= share * m) & ~seen)
-            if len(check):
-                seen[check] = True
-                found.append(check)
-                away.append(np.sqrt(((self.x[check] - q) ** 2).sum(1)))
-            d = np.concatenate(away) if away else np.zeros(0)
-            if part >= 1 or len(d) >= k and np.partition(d, k - 1)[k - 1] <= radius:
-                break
-            part = min(1.0, part * widen)
-        if not len(d):
-            return np.zeros(0, np.int64), d
-        rows = np.concatenate(found)
-        best = np.lexsort((self.ids[rows], d))[:k]
-        return self.ids[rows[best]], d[best]
+        order = np.argsort(h, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(h, order, 1)
+        self.place = np.empty(order.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=self.place.dtype), order.shape), 1)
+        self.shifted, self.inside = np.empty_like(self.place), np.empty(order.shape, bool)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many arrays each vector lies at a place from ``low`` to below ``high``."""
+        kind = self.place.dtype
+        np.subtract(self.place, low.astype(kind)[:, None], out=self.shifted)  # places below ``low`` wrap around to the top
+        np.less(self.shifted, (high - low).astype(kind)[:, None], out=self.inside)
+        return np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.min_scalar_type(len(self.sorted)))
+
+    def radii(self, at: np.ndarray, k: int, widen: float) -> np.ndarray:
+        """Radius of every window, narrowest first, for queries projected to ``at``; the last one is endless."""
+        m, n = self.sorted.shape
+        parts = [max(0.02, 2 * k / n)]
+        while parts[-1] < 1:
+            parts.append(min(1.0, parts[-1] * widen))
+        width = np.array([max(1, int(p * n / 2)) for p in parts[:-1]], np.int64)
+        out = np.full((len(at), len(parts)), np.inf)
+        if len(width):
+            pos = np.stack([np.searchsorted(self.sorted[i], at[:, i]) for i in range(m)], 1)[:, :, None]
+            each = np.arange(m)[None, :, None]
+            left, right = self.sorted[each, np.maximum(pos - width, 0)], self.sorted[each, np.minimum(pos + width, n - 1)]
+            out[:, :-1] = np.median(np.maximum(at[:, :, None] - left, right - at[:, :, None]), axis=1)
+        return np.where(np.isnan(out), np.inf, out)
+
+    def closest(self, rows: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """Those of ``rows`` that can be among the ``k`` nearest to ``q``, by squared distances from one product and their rounding errors."""
+        if len(rows) <= k:
+            return rows
+        sizes = self.squares[rows] + q @ q
+        rough, error = sizes - 2 * (self.x[rows] @ q), 1e-9 * sizes
+        return rows[~(rough - error > np.partition(rough + error, k - 1)[k - 1])]
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, share: float, widen: float, first: int = 0) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """(ids, distances) of the ``k`` nearest found for each query, its own id left out, and the median window at which queries were done.
+
+        A query is done at its narrowest window whose ``k`` best lie within the radius. A window holds all that narrower ones hold, so that
+        one is looked for from ``first`` in both directions: windows narrower than the k-th distance found fail, wider ones don't.
+        """
+        m = len(self.sorted)
+        at = np.stack([v @ self.lines for v in q])
+        radius = self.radii(at, k, widen)
+        last = radius.shape[1] - 1
+        got: list = [None] * len(q)
+        fails, done, kept = np.full(len(q), -1), np.full(len(q), last), np.full(len(q), -1)
+        now, step = np.full(len(q), min(first, last)), np.ones(len(q), np.int64)
+        active = np.arange(len(q))
+        while len(active):
+            r = radius[active, now[active]]
+            low = np.stack([np.searchsorted(self.sorted[i], at[active, i] - r, "left") for i in range(m)], 1)
+            high = np.stack([np.searchsorted(self.sorted[i], at[active, i] + r, "right") for i in range(m)], 1)
+            for a, j in enumerate(active):
+                near = self.ids != own[j]
+                if np.isfinite(r[a]):
+                    near &= self.collisions(low[a], high[a]) >= share * m
+                rows = self.closest(np.flatnonzero(near), q[j], k)
+                d = np.sqrt(((self.x[rows] - q[j]) ** 2).sum(1))
+                kth = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+                narrowest = min(np.searchsorted(radius[j], kth), last)
+                if now[j] == last or kth <= r[a]:
+                    best = np.flatnonzero(d <= kth) if kth < np.inf else np.arange(len(d))
+                    best = best[np.lexsort((self.ids[rows[best]], d[best]))[:k]]
+                    got[j], kept[j], done[j], fails[j] = (self.ids[rows[best]], d[best]), now[j], now[j], max(fails[j], min(narrowest, now[j]) - 1)
+                    now[j] = max(done[j] - step[j], fails[j] + 1)
+                else:
+                    fails[j], done[j] = now[j], min(done[j], narrowest)
+                    now[j] = min(fails[j] + step[j], done[j])
+                step[j] *= 2
+            active = active[(kept[active] != done[active]) | (done[active] - fails[active] > 1)]
+        return got, int(np.median(done))
 
 
 def usable(vector: str) -> Column:
@@ -84,7 +115,37 @@ def usable(vector: str) -> Column:
     return x.isNotNull() & finite & F.exists(x, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, asked: Column, k: int = 10, projections: int = 64, share: float = 0.58, widen: float = 1.25, block_rows: int = 8192, query_rows: int = 512) -> DataFrame:
+def answers(batches: Iterator[pa.RecordBatch], k: int, projections: int, share: float, widen: float, at_once: int = 64) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) from batches sorted by (cell, asks): a cell's vectors make its block, its queries follow batch by batch."""
+    cell, held, block, first = None, [], None, 0
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        cells, asks = t.column("cell").to_numpy(), t.column("asks").to_numpy()
+        cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(cells)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            if low == high:
+                continue
+            if cells[low] != cell:
+                cell, held, block, first = cells[low], [], None, 0
+            part = t.slice(low, high - low)
+            ids = part.column("vec_id").to_numpy()
+            x = part.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            if not asks[low]:
+                held.append((ids, x))
+                continue
+            if block is None and held:
+                block, held = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), projections), []
+            if block is None:
+                continue
+            for i in range(0, len(ids), at_once):
+                own = ids[i : i + at_once]
+                got, first = block.nearest(own, x[i : i + at_once], k, share, widen, first)
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": np.repeat(own, [len(v) for v, _ in got]), "vec_id": np.concatenate([v for v, _ in got]), "score": np.concatenate([d for _, d in got]),
+                })
+
+
+def search(vectors: DataFrame, asked: Column, k: int = 10, projections: int = 64, share: float = 0.58, widen: float = 1.25, block_rows: int = 8192, query_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows of ``vectors`` (vec_id, embedding) where ``asked``, against all rows but the query's own."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     v = v.withColumn("size", F.size("embedding"))
@@ -97,21 +158,8 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, projections: int = 64
     data = v.select("size", block.alias("b"), every(query_blocks).alias("q"), "vec_id", "embedding", F.lit(False).alias("asks"))
     ask = queries.select("size", every(blocks).alias("b"), query_block.alias("q"), "vec_id", "embedding", F.lit(True).alias("asks"))
     cells = data.unionByName(ask).withColumn("cell", F.xxhash64("size", "b", "q")).select("cell", "asks", "vec_id", "embedding")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, "cell"):
-            asks = t.column("asks").to_numpy()
-            ids = t.column("vec_id").to_numpy()
-            x = t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            if asks.all() or not asks.any():
-                continue
-            here = Block(ids[~asks], x[~asks], projections)
-            got = [(own, *here.nearest(own, q, k, share, widen)) for own, q in zip(ids[asks], x[asks])]
-            yield pa.RecordBatch.from_pydict({
-                "query_id": np.concatenate([np.full(len(i), own) for own, i, _ in got]).astype(np.int64), "vec_id": np.concatenate([i for _, i, _ in got]).astype(np.int64), "score": np.concatenate([d for *_, d in got]),
-            })
-
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "query_id long, vec_id long, score double")
+    run = lambda batches: answers(batches, k, projections, share, widen)
+    found = cells.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
