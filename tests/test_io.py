@@ -1,6 +1,8 @@
 import copy
 import datetime as dt
 import json
+import math
+import re
 import threading
 
 import pytest
@@ -302,3 +304,58 @@ def test_page_run_keeps_compressed_columns_and_hashes_stay_behind_the_join(spark
     plan = run.snapshots.select("page_key", "content_hash")._jdf.queryExecution().executedPlan().toString()
     assert "parquet" in plan and "prices" not in plan
     assert [r.extracted_text for r in run.snapshots.orderBy("page_key").collect()] == [None, "b", "c", "d", "e"]
+
+
+def test_corpus_pages_travel_as_numbers(spark, tmp_path, monkeypatch):
+    """Keys and bodies are made behind the exchanges, and keys are told apart whatever is null or comes twice."""
+    from tollgauge.plans import crawl
+    from tollgauge.queries import quality
+
+    lines = [(1, 2, 3, 4, 5.5, "A", "F"), (1, 2, 3, 4, 5.0, "A", "F"), (1, 2, 3, 4, 5.5, "N", "O"), (1, 2, 3, None, 5.5, "A", "O"), (1, 2, None, 3, 5.5, "A", "O"), (1, None, 2, 3, 5.5, "R", "O")]
+    lines += [(1, 2, 3, 4, None, "A", "F"), (1, 2, 3, 4, None, "N", "O"), (2, 2, 3, 4, None, "A", "F"), (2, 7, 3, 4, -5.5, None, None), (2, 6, 3, 4, 5.5, "A", "F"), (None, 1, 1, 1, 1.0, "A", "F"), (9, 1, 1, 1, 1.0, "A", "F")]
+    orders = [(1, 2013.9), (1, 13.0), (1, 40.0), (2, None), (2, 1999.0), (None, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(orders, "o_orderkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+
+    def text(line, price):
+        if price is None or line[4] is None:
+            return None
+        billing = {0: "/mo", 1: " per year"}.get(None if line[1] is None else line[1] % 3, "")
+        kind = {"A": " messages per day", "N": " credits/month"}.get(line[5], "x more usage")
+        close = ". Free tier available, limits reset every 24 hours." if line[6] == "F" else ". Heavy use is throttled; usage limits apply and vary, capped by model."
+        return f"Plan costs ${math.floor(price) % 2000}{billing}, {math.floor(line[4])}{kind}{close}"
+
+    joined = [(line, text(line, price)) for line in lines for key, price in orders if key is not None and key == line[0]]
+    want = {("/".join(str(x) for x in (*line[:4], t) if x is not None), None if t is None else f"<div><p>{t}</p></div>", None if t is None else "$13" not in t) for line, t in joined}
+    v = Views(spark, str(tmp_path))
+    assert rows(v.offer_text.select("l_orderkey", F.coalesce("text", F.lit("")))) == sorted((line[0], t or "") for line, t in joined)
+    plans, filed = [], crawl.filed
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return filed(df)
+
+    monkeypatch.setattr(crawl, "filed", watched)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages, stored = quality.corpus(v)
+        found = [(r.page_key, r.html, r.allowed) for r in pages.collect()]
+        assert len(found) == len(want) < len(joined) and set(found) == want
+        assert {r.source_url for r in stored.collect()} == {k for k, html, _ in want if html and "throttled" in html}
+        run = process_pages(pages, stored, quality.names(spark))
+        assert {r.page_key for r in run.snapshots.collect()} == {k for k, _, allowed in want if allowed}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin [provider_id" in plans[0]
+    assert not re.search(r"hashpartitioning\((page_key|source_url|provider_id)#", plans[0])
+
+
+def test_an_address_that_is_the_key_is_stored_once(spark):
+    names = spark.createDataFrame([(1, "Acme", 1)], "model_id bigint, display_name string, ord bigint")
+    empty = spark.createDataFrame([], "provider_id string, source_url string, observed_at timestamp_ntz, snapshot_id int, content_hash string")
+    pages = page_frame(spark, [(u, "pricing", "<p>Acme: $20/mo</p>", True) for u in ("k0", "u1", None, "k3", "")])
+    run = process_pages(pages, empty, names)
+    assert {r.page_key: r.source_url for r in run.snapshots.collect()} == {"k0": "k0", "k1": "u1", "k2": None, "k3": "k3", "k4": ""}
+    files = spark.read.parquet(*run.snapshots.inputFiles())
+    assert {r.page_key: r.source_url for r in files.collect()} == {"k0": None, "k1": "u1", "k2": None, "k3": None, "k4": ""}

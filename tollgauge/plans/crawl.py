@@ -26,6 +26,15 @@ class CrawlResult:
     counters: dict[str, int]
 
 
+def _filed(run: DataFrame) -> DataFrame:
+    """Stores a run's rows; an address that is the page's key as well is written once."""
+    if run.schema["page_key"].dataType != run.schema["source_url"].dataType:
+        return filed(run)
+    key, url, same = F.col("page_key"), F.col("source_url"), F.col("__same")
+    stored = filed(run.withColumn("__same", url.eqNullSafe(key)).withColumn("source_url", F.when(~same, url)))
+    return stored.withColumn("source_url", F.when(same, key).otherwise(url)).drop("__same")
+
+
 def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force: bool = False) -> CrawlResult:
     """Process fetched pages. ``pages``: page_key, provider_id, source_url, page_type, html, observed_at, allowed.
 
@@ -51,7 +60,7 @@ def process_pages(pages: DataFrame, history: DataFrame, names: DataFrame, force:
     disclosed = F.when(F.col("page_type").isin("pricing", "docs"), F.col("text"))
     extracted = extracted.withColumn("mentions", hits(names, disclosed))
     size = lambda c: F.coalesce(F.sum(F.when(F.col("changed"), F.size(c))), F.lit(0)).alias(c)
-    extracted = filed(extracted.observe(done, F.count_if("changed").alias("changed"), size("prices"), size("limits"), size("mentions")))
+    extracted = _filed(extracted.observe(done, F.count_if("changed").alias("changed"), size("prices"), size("limits"), size("mentions")))
     counters = {**seen.get, **done.get}
 
     changed = F.col("changed")

@@ -12,7 +12,7 @@ from tollgauge.queries.registry import query
 from tollgauge.queries.sql_views import num_text, sql
 from tollgauge.queries.text import _PRICE, KEYS, _limits_sql, _readable, placed_views
 from tollgauge.queries.text import names as benchmark_names
-from tollgauge.sources.views import Views, as_of
+from tollgauge.sources.views import Views, as_of, offer_words
 
 DAY = "2001-09-10"
 
@@ -299,16 +299,24 @@ _CORPUS = """SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/'
 
 def corpus(v: Views):
     """(pages, stored snapshots) built from offer texts."""
-    keyed = v.offer_text.select(F.concat_ws("/", *KEYS, "text").alias("page_key"), F.struct("l_linenumber", "l_partkey", "text").alias("x"))
-    # pages and their history read one exchange of distinct pages; hashes and page bodies are made behind it
-    o = keyed.groupBy("page_key").agg(F.first("x").alias("x")).select("page_key", "x.*")
+    told = F.col("amount").isNotNull() & F.col("whole").isNotNull()
+    numbers = F.array_compact(F.array(F.col("l_linenumber").cast("bigint"), "l_partkey", "l_suppkey"))
+    # a key names its order and is the list of the other numbers there are and the text, so keys are told apart beside the order's
+    # other lines, without being spelled out
+    offers = v.offer.withColumns({c: F.when(told, F.col(c)) for c in ("amount", "whole", "wording")}).withColumn("numbers", numbers)
+    keyed = offers.groupBy("l_orderkey", "numbers", "amount", "whole", "wording")
+    distinct = keyed.agg(F.first(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "x.*", "amount", "whole", "wording")
+    # rows go to their address while they are numbers: keys, bodies and hashes are made behind the exchange, bodies behind the order
+    key, text = F.concat_ws("/", *KEYS, offer_words()), offer_words()
+    dealt = distinct.repartition("l_partkey", key).withColumn("page_key", key)
     kind = F.when(F.col("l_linenumber") <= 3, "pricing").when(F.col("l_linenumber") <= 5, "docs").otherwise("models")
-    pages = o.select(
+    columns = [
         "page_key", F.col("l_partkey").alias("provider_id"), F.col("page_key").alias("source_url"), kind.alias("page_type"),
-        F.concat(F.lit("<div><p>"), F.col("text"), F.lit("</p></div>")).alias("html"), F.lit("2001-08-02").cast("timestamp_ntz").alias("observed_at"),
-        (~F.col("text").contains("$13")).alias("allowed"),
-    )
-    stored = pages.where(F.col("html").contains("throttled")).select(
+        F.concat(F.lit("<div><p>"), text, F.lit("</p></div>")).alias("html"), F.lit("2001-08-02").cast("timestamp_ntz").alias("observed_at"),
+        (~text.contains("$13")).alias("allowed"),
+    ]
+    pages = dealt.sortWithinPartitions("l_partkey", "page_key").select(*columns)
+    stored = dealt.select(*columns).where(F.col("html").contains("throttled")).select(
         "provider_id", "source_url", F.lit("2001-08-01").cast("timestamp_ntz").alias("observed_at"), F.lit(1).alias("snapshot_id"),
         F.sha2("html", 256).alias("content_hash"),
     )

@@ -31,6 +31,25 @@ TIER_OF_TYPE = {
 WINDOW_OF_LINE = {1: "1h", 2: "3h", 3: "5h", 4: "1d", 5: "1w", 6: "1mo", 7: "1y"}
 
 
+# fixed values: words of an offer after its amount, after its quantity and at its end
+OFFER_BILLING = ("/mo", " per year", "")
+OFFER_KIND = (" messages per day", " credits/month", "x more usage")
+OFFER_CLOSE = (
+    ". Free tier available, limits reset every 24 hours.",
+    ". Heavy use is throttled; usage limits apply and vary, capped by model.",
+)
+
+
+def offer_words() -> Column:
+    """Text of an offer, from ``amount``, ``whole`` and ``wording``; no two of these triples share a text."""
+
+    def one(words: tuple[str, ...], step: int) -> Column:
+        return F.get(F.array(*[F.lit(w) for w in words]), F.expr(f"wording div {step} % {len(words)}"))
+
+    amount, whole = F.col("amount").cast("string"), F.col("whole").cast("string")
+    return F.concat(F.lit("Plan costs $"), amount, one(OFFER_BILLING, 6), F.lit(", "), whole, one(OFFER_KIND, 2), one(OFFER_CLOSE, 1))
+
+
 def as_of(date: str = AS_OF) -> Column:
     return F.lit(date).cast("date")
 
@@ -201,28 +220,25 @@ class Views:
         )
 
     @cached_property
-    def offer_text(self) -> DataFrame:
-        """One price-and-limit text per line item, built from its own values."""
-        o = self.table("orders").select("o_orderkey", "o_totalprice")
+    def offer(self) -> DataFrame:
+        """One price-and-limit offer per line item, in narrow columns that ``offer_words`` makes a text of."""
+        o = self.table("orders").select("o_orderkey", (F.floor("o_totalprice") % 2000).alias("amount"))
         li = self.texts(
             "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
         )
-        j = li.join(o, li.l_orderkey == o.o_orderkey)
-        amount = F.floor("o_totalprice") % 2000
-        whole = F.floor("l_quantity").cast("string")
-        text = F.concat(
-            F.lit("Plan costs $"),
-            amount.cast("string"),
-            F.when(F.col("l_linenumber") % 3 == 0, "/mo").when(F.col("l_linenumber") % 3 == 1, " per year").otherwise(""),
-            F.lit(", "),
-            whole,
-            F.when(F.col("l_returnflag") == "A", " messages per day")
-            .when(F.col("l_returnflag") == "N", " credits/month")
-            .otherwise("x more usage"),
-            F.when(F.col("l_linestatus") == "F", ". Free tier available, limits reset every 24 hours.").otherwise(
-                ". Heavy use is throttled; usage limits apply and vary, capped by model."
-            ),
+        line = F.col("l_linenumber") % 3
+        billing = F.when(line == 0, 0).when(line == 1, 1).otherwise(2)
+        kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+        close = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
+        li = li.select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity").alias("whole"),
+            (billing * 6 + kind * 2 + close).alias("wording"),
         )
-        return j.select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("plan_id"), text.alias("text")
+        return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
+
+    @cached_property
+    def offer_text(self) -> DataFrame:
+        """One price-and-limit text per line item, built from its own values."""
+        return self.offer.select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("plan_id"), offer_words().alias("text")
         )
